@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import lookalike, tokens
+from strataform.llm import copies, lookalike, tokens
 from strataform.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +17,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found([t("acids_and_solvents", "concentration"), t("target_materials", "isotope"), t("target_materials", "chemical_formula")])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "raw_items", "raw_id", "paper_id", "section", "payload"), "raw_id", ["paper_id", "section"], "payload")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {}

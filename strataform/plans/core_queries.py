@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataform.operators import nested
+from strataform.operators import nested, units
 from strataform.sources.tables import table
 
 
+def amounts(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, step_id, field, text, value, unit, posterior, uncertain of all four fields."""
+    acids = units.long_form(table(spark, d, "acids_and_solvents", "item_id", "step_id", "concentration"), ["concentration"], ["item_id", "step_id"])
+    elution = units.long_form(table(spark, d, "elution_conditions", "item_id", "step_id", "volume", "flow_rate", "temperature"), ["volume", "flow_rate", "temperature"], ["item_id", "step_id"])
+    return units.convert(acids, ["concentration"]).unionByName(units.convert(elution, ["volume", "flow_rate", "temperature"]))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.same_quantity_pairs(amounts(spark, d), "item_id", "step_id")
+
+
+def p6_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Every item once, with its quantities in one unit per field."""
+    a = amounts(spark, d).where("value IS NOT NULL")
+    return a.groupBy("item_id", "field", "text").agg(F.first("value").alias("value"), F.first("uncertain").alias("uncertain"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.p7_found(table(spark, d, "extraction_records", "record_id", "record"))
 
 
-QUERIES = {"p7_found": p7_found}
+def p7_elution_table(spark: SparkSession, d: str) -> DataFrame:
+    """One of the flat tables: elution conditions that still point to their record."""
+    return nested.section_table(nested.flatten_items(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record"), "elution_conditions")
+
+
+QUERIES = {"p6_found": p6_found, "p6_amounts": p6_amounts, "p7_found": p7_found, "p7_elution_table": p7_elution_table}
 ORACLE: dict[str, str] = {}

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import copies, lookalike, tokens
+from strataform.llm import copies, lookalike, tokens, vocab_map
 from strataform.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    acids = table(spark, d, "acids_and_solvents", "item_id", "name", "type", "role")
+    elution = table(spark, d, "elution_conditions", "item_id", "eluent")
+    cols = [(acids, "name", "name", "substance"), (acids, "type", "type", "type"), (acids, "role", "role", "role"), (elution, "eluent", "eluent", "substance")]
+    return vocab_map.found(spark, cols, table(spark, d, "vocab"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n, c: (table(spark, d, n, "item_id", c), c, c)
     return lookalike.found([t("acids_and_solvents", "concentration"), t("target_materials", "isotope"), t("target_materials", "chemical_formula")])
@@ -25,5 +32,5 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import copies, lookalike, tokens, vocab_map
+from strataform.llm import copies, lookalike, scans, tokens, vocab_map
 from strataform.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "raw_items", "raw_id", "paper_id", "section", "payload"), "raw_id", ["paper_id", "section"], "payload")
 
 
+def _quotes(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t, "item_id", "source_section") for t in ("acids_and_solvents", "elution_conditions", "target_materials")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(_quotes(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids}
 ORACLE: dict[str, str] = {}

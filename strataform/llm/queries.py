@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import copies, leakage, lookalike, scans, tokens, vocab_map
+from strataform.llm import copies, langid, leakage, lookalike, scans, tokens, vocab_map
 from strataform.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +46,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.scan(docs, tests, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import copies, langid, leakage, lookalike, scans, tokens, vocab_map
+from strataform.llm import copies, langid, leakage, linkage, lookalike, scans, tokens, vocab_map
 from strataform.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vocab_map.found(spark, cols, table(spark, d, "vocab"))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "papers", "paper_id", "title", "doi", "source", "n_pages")
+    books = table(spark, d, "bibliography", "entry_id", "title", "doi", "source", "pub_year", "page_count")
+    a = {"key": "paper_id", "title": "title", "doi": "doi", "source": "source", "pages": "n_pages", "year": None}
+    b = {"key": "entry_id", "title": "title", "doi": "doi", "source": "source", "pages": "page_count", "year": "pub_year"}
+    return linkage.link(papers, books, a, b)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select("paper_id", "entry_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n, c: (table(spark, d, n, "item_id", c), c, c)
     return lookalike.found([t("acids_and_solvents", "concentration"), t("target_materials", "isotope"), t("target_materials", "chemical_formula")])
@@ -50,5 +62,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.found(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}

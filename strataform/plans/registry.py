@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.plans import core_queries
+from strataform.plans import core_queries, reference_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_queries.p7_found(spark, sf_dir)
+    return reference_queries.record_report(spark, sf_dir)
 
 
 def queries() -> dict:
-    return dict(core_queries.QUERIES)
+    return reference_queries.QUERIES | core_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_queries.ORACLE)
+    return reference_queries.ORACLE | core_queries.ORACLE

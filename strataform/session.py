@@ -15,7 +15,7 @@ _shipped: set[str] = set()
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A single-JVM session. On a cluster the caller passes its own session instead."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("strataform")
         .config("spark.ui.enabled", "false")
@@ -26,6 +26,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,6 +1,6 @@
 """Match records of two sources that share no key, each match with a confidence.
 
-Candidates share an identifier text or three of their rarest title words. Labelling functions vote on each
+Candidates share an identifier text or a set of title words that is rare in the whole data. Labelling functions vote on each
 candidate: match, no match, or abstain. A generative label model (two latent classes, functions independent
 given the class but for pairs found to be correlated, which are then modelled jointly) is fitted by EM on the
 histogram of vote patterns and yields the posterior of each pattern. The histogram has at most 3 to the number of
@@ -19,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,23 +77,43 @@ def profiles(df: DataFrame, key: str, title: str, doi: str, source: str, pages:
     return p.select("rep", "t", "w", "d", "j", "yr", "pages", "nuclides", "place", "kind")
 
 
-def candidates(a: DataFrame, b: DataFrame, rarest: int = 7, common: float = 0.2) -> DataFrame:
-    """(a, b): pairs of classes that share an identifier or three of their `rarest` title words. Words that only one
-    side knows (slips) and those in more than `common` of all titles do not count; the latter are at most
-    (words per title / common), so that they are broadcast whatever the data's size."""
+def rare_sets(words: list[tuple[int, str]], total: float, expected: float) -> list[list[str]]:
+    """Sets of words so rare together that a title is expected to share one with at most `expected` unrelated others
+    (total * product of the words' shares). words: (count, word), rarest first. No set holds a smaller one's work:
+    a set ends with the word that makes it rare enough. All words together are a set if no fewer are rare enough."""
+    out: list[list[str]] = []
+
+    def grow(start: int, chosen: list[str], rate: float) -> None:
+        for i in range(start, len(words)):
+            n, w = words[i]
+            r = rate * n / total
+            if r <= expected:
+                out.append([*chosen, w])
+            else:
+                grow(i + 1, [*chosen, w], r)
+
+    grow(0, [], total)
+    return out or ([[w for _, w in words]] if len(words) > 2 else [])
+
+
+def candidates(a: DataFrame, b: DataFrame, rarest: int = 9, common: float = 0.2, expected: float = 0.5) -> DataFrame:
+    """(a, b): pairs of classes that share an identifier or a set of title words that is rare in the whole data, so
+    that the number of candidates grows as the data, not as its square. Sets are built of a title's `rarest` words.
+    Words that only one side knows (slips) and those in more than `common` of all titles do not count; the latter are
+    at most (words per title / common), so that they are broadcast whatever the data's size."""
     wa, wb = a.select("rep", F.explode("w").alias("w")), b.select("rep", F.explode("w").alias("w"))
     df = cut(wa.groupBy("w").agg(F.count(F.lit(1)).alias("na")).join(wb.groupBy("w").agg(F.count(F.lit(1)).alias("nb")), "w").select("w", (F.col("na") + F.col("nb")).alias("n")))
     total = a.count() + b.count()
     often = df.where(F.col("n") > common * total).select("w")
     useful = df.where(F.col("n") <= common * total)
 
+    @F.pandas_udf("array<string>")
+    def sets(s: pd.Series) -> pd.Series:
+        return s.map(lambda r: ["\x1f".join(sorted(x)) for x in rare_sets([(e["n"], e["w"]) for e in r], total, expected)])
+
     def keys(x: DataFrame, name: str) -> DataFrame:
         top = x.join(F.broadcast(often), "w", "left_anti").join(useful, "w").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, rarest).alias("r"))
-        words = top.select("rep", F.array_sort(F.transform("r", lambda s: s["w"])).alias("r")).where(F.size("r") >= 3)
-        i = words.select("rep", "r", F.posexplode("r").alias("i", "x")).select("rep", "r", "i", "x")
-        j = i.select("rep", "r", "x", F.posexplode("r").alias("j", "y"), "i").where("j > i")
-        k = j.select("rep", "x", "y", F.posexplode("r").alias("k", "z"), "j").where("k > j")
-        return k.select(F.col("rep").alias(name), F.xxhash64("x", "y", "z").alias("h"))
+        return top.select(F.col("rep").alias(name), F.explode(sets("r")).alias("s")).select(name, F.xxhash64("s").alias("h"))
 
     by_words = keys(wa, "a").join(keys(wb, "b"), "h").select("a", "b")
     by_doi = a.where("d IS NOT NULL").select(F.col("rep").alias("a"), "d").join(b.where("d IS NOT NULL").select(F.col("rep").alias("b"), "d"), "d").select("a", "b")

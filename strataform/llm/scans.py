@@ -30,7 +30,6 @@ from strataform.session import cut, ship
 BODY, HEADER, PAGE = 0, 1, 2
 _BREAK = re.compile(r"\r\n|\r|\n")
 _HYPHENS = "-­¬‐‑"
-_BROKEN = re.compile(rf"(\S*[^\W\d_])([{_HYPHENS}])\s*$")
 _EDGE = ".,;:()[]\"'“”‘’!?"
 
 # Characters and groups of them that scans confuse, brought to common components.
@@ -63,10 +62,44 @@ class Words:
                 self.known.add(w)
         self.lower = {w.lower() for w in self.known}
         self.seen = {components(w) for w in self.known}
+        self.memo: dict[str, int] = {}
+        self.sorts: dict[str, tuple[str, bool, bool, bool]] = {}
 
     def knows(self, w: str) -> bool:
         return w in self.known or w.lower() in self.lower
 
+    def any_misread(self, tokens: list[str]) -> bool:
+        """Whether any token of a text is misread; each token is judged once per process."""
+        memo = self.memo
+        for i, t in enumerate(tokens):
+            m = memo.get(t)
+            if m is None:
+                w = t.strip(_EDGE)
+                m = 0
+                if w and not w.isdigit() and not self.knows(w):
+                    m = 2 if re.fullmatch(r"[0-9OolISBZ.,–-]+", w) else int(self.misread(w))
+                if len(memo) >= 300_000:
+                    memo.clear()
+                memo[t] = m
+            if m == 1 or m == 2 and self.misread(t.strip(_EDGE), tokens[i - 1].strip(_EDGE) if i else ""):
+                return True
+        return False
+
+    def sort(self, t: str) -> tuple[str, bool, bool, bool]:
+        """(bare token, has letters, known, looks like a known one), judged once per process."""
+        s = self.sorts.get(t)
+        if s is None:
+            w = t.strip(_EDGE)
+            k = bool(w) and self.knows(w)
+            s = (w, any(map(str.isalpha, w)), k, k or components(w) in self.seen)
+            if len(self.sorts) >= 300_000:
+                self.sorts.clear()
+            self.sorts[t] = s
+        return s
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}, "sorts": {}}
+
     def misread(self, w: str, before: str = "") -> bool:
         if not w or w.isdigit() or self.knows(w):
             return False
@@ -82,50 +115,69 @@ _ROMAN = re.compile(r"[ivxlc]+", re.I)
 _NUMBERED = re.compile(r"\W*(?:p(?:p|g|age|ages)?\b\.?|seite|s\.)?\W*(?:[A-Z]?\d{1,4}|[ivxlc]{1,6})\W*(?:(?:of|/|von)\W*\d{1,4}\W*)?", re.I)
 
 
+_MARKS = (("|", re.compile(r" \| |^\||\|$"), "bar"), (" / ", re.compile(" / "), "slash"), ("–", re.compile(" – "), "dash"), ("—", re.compile(" — "), "dash"), ("•", re.compile(" • "), "dash"), ("·", re.compile(" · "), "dash"), (": ", re.compile(r"\w: "), "colon"), ("-", re.compile(r"\b[a-z]{3,}-\d{1,3}\b"), "mass"), ("(", re.compile(r"\d\(\d+\)"), "issue"))
+_YEAR = re.compile(r"\(?(?:19|20)\d\d\)?")
+_PAGES = re.compile(r"\d+[–-]\d+$")
+_CITED = re.compile(r"\bet al\b|\bvol\b\.?|\bno\.", re.I)
+_SHORT = re.compile(r"\b[A-Z][a-z]{1,5}\.")
+
+
 def line_features(lines: list[str], words: Words) -> list[list[str]]:
-    """Layout features of each line, as names; `words` only enters as the share of known ones."""
-    width = max((len(x.strip()) for x in lines), default=0)
+    """Layout features of each line, as names; of the words only whether they are known enters."""
+    stripped = [x.strip() for x in lines]
+    width = max(map(len, stripped), default=0) or 1
+    n = len(stripped)
     out = []
-    for i, raw in enumerate(lines):
-        s = raw.strip()
-        letters = [c for c in s if c.isalpha()]
-        tokens = [t.strip(_EDGE) for t in s.split()]
-        tokens = [t for t in tokens if t]
-        upper = sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
-        digits = sum(c.isdigit() for c in s) / max(1, len(s))
-        alpha = [t for t in tokens if any(c.isalpha() for c in t)]
-        known = sum(words.knows(t) for t in alpha) / len(alpha) if alpha else 0.0
-        before = lines[i - 1].strip() if i else ""
-        after = lines[i + 1].strip() if i + 1 < len(lines) else ""
-        f = ["bias", f"known{int(known * 4)}", f"upper{int(upper * 4)}", f"digits{min(4, int(digits * 8))}", f"rel{int(4 * len(s) / max(1, width))}", f"tokens{min(len(tokens), 6)}"]
-        f.append("first" if i == 0 else "last" if i == len(lines) - 1 else "inside")
-        if _NUMBERED.fullmatch(s) and any(c.isdigit() or c.isalpha() for c in s):
+    for i, s in enumerate(stripped):
+        letters = sum(map(str.isalpha, s))
+        upper = sum(map(str.isupper, s)) / letters if letters else 0.0
+        digits = sum(map(str.isdigit, s)) / (len(s) or 1)
+        tokens = s.split()
+        alpha = known = caps = unknown = unknown_caps = 0
+        for t in tokens:
+            w, has, k, looks = words.sort(t)
+            if has:
+                alpha += 1
+                known += k
+                cap = w[0].isupper()
+                caps += cap
+                if not looks:
+                    unknown += 1
+                    unknown_caps += cap
+        share = known / alpha if alpha else 0.0
+        before = stripped[i - 1] if i else ""
+        after = stripped[i + 1] if i + 1 < n else ""
+        few = min(2, unknown)
+        place = "first" if i == 0 else "last" if i == n - 1 else "inside"
+        f = ["bias", f"known{int(share * 4)}", f"upper{int(upper * 4)}", f"digits{min(4, int(digits * 8))}", f"rel{int(4 * len(s) / width)}", f"tokens{min(len(tokens), 6)}", place, f"unknown{min(4, unknown)}", f"unknown-caps{min(3, unknown_caps)}", f"caps{int(4 * caps / alpha) if alpha else 0}"]
+        if len(s) < 24 and _NUMBERED.fullmatch(s) and (digits or letters):
             f.append("numbered")
             f.append("roman" if _ROMAN.fullmatch(s) else "arabic")
-        unknown = [t for t in alpha if not words.knows(t) and components(t) not in words.seen]
-        f.append(f"unknown{min(4, len(unknown))}")
-        f.append(f"unknown-caps{min(3, sum(t[:1].isupper() for t in unknown))}")
-        for mark, name in ((r" \| |^\||\|$", "bar"), (r" / ", "slash"), (r" [–—·•] ", "dash"), (r"\w: ", "colon"), (r"\b[a-z]{3,}-\d{1,3}\b", "mass"), (r"\d\(\d+\)", "issue")):
-            if re.search(mark, s):
-                f += [name, f"{name}-unknown{min(2, len(unknown))}"]
-        if re.search(r"\(?(?:19|20)\d\d\)?", s):
+        for c, mark, name in _MARKS:
+            if c in s and mark.search(s):
+                f.append(name)
+                f.append(f"{name}-unknown{few}")
+        if digits and _YEAR.search(s):
             f.append("year")
-        if re.search(r"\d+[–-]\d+$", s):
+        if digits and s[-1].isdigit() and _PAGES.search(s):
             f.append("page-range")
-        if re.search(r"\bet al\b|\bvol\b\.?|\bno\.", s, re.I):
-            f += ["citation", f"citation-unknown{min(2, len(unknown))}"]
-        if len(re.findall(r"\b[A-Z][a-z]{1,5}\.", s)) >= 2:
+        low = s.lower()
+        if ("et al" in low or "vol" in low or "no." in low) and _CITED.search(s):
+            f.append("citation")
+            f.append(f"citation-unknown{few}")
+        if s.count(".") >= 2 and len(_SHORT.findall(s)) >= 2:
             f.append("abbreviations")
-        f.append("low-start" if s[:1].islower() else "cap-start" if s[:1].isupper() else "other-start")
-        f.append("end-point" if s.endswith((".", "!", "?")) else "end-break" if s[-1:] in _HYPHENS and s else "end-open")
-        f.append("goes-on" if after[:1].islower() else "new-after")
-        f.append("open-before" if before and not before.endswith((".", "!", "?")) else "closed-before")
-        if known < 0.6 and before and not before.endswith(".") and after[:1].islower():
+        head = s[:1]
+        f.append("low-start" if head.islower() else "cap-start" if head.isupper() else "other-start")
+        f.append("end-point" if s.endswith((".", "!", "?")) else "end-break" if s and s[-1] in _HYPHENS else "end-open")
+        goes_on = after[:1].islower()
+        f.append("goes-on" if goes_on else "new-after")
+        open_before = bool(before) and not before.endswith((".", "!", "?"))
+        f.append("open-before" if open_before else "closed-before")
+        if goes_on and before and share < 0.6 and not before.endswith("."):
             f.append("interrupts")
-        caps = sum(t[:1].isupper() for t in alpha) / len(alpha) if alpha else 0
-        f.append(f"caps{int(caps * 4)}")
-        if not s.endswith((".", "!", "?", ",")) and "open-before" in f and "goes-on" in f:
-            f.append(f"amid-unknown{min(3, len(unknown))}-{f[6]}")
+        if goes_on and open_before and not s.endswith((".", "!", "?", ",")):
+            f.append(f"amid-unknown{min(3, unknown)}-{place}")
         out.append(f)
     return out
 
@@ -134,23 +186,35 @@ class LineModel:
     """Linear-chain model: weights of (feature, state) and (state, next state)."""
 
     def __init__(self) -> None:
-        self.w: dict[str, np.ndarray] = {}
+        self.w: dict[str, list[float]] = {}
         self.t = np.zeros((4, 3))  # row 3: start
 
     def decode(self, feats: list[list[str]]) -> list[int]:
-        zero = np.zeros(3)
-        score, back = self.t[3], []
+        get = self.w.get
+        t0, t1, t2, start = self.t.tolist()
+        s0, s1, s2 = start
+        back = []
         for i, f in enumerate(feats):
-            e = sum((self.w.get(x, zero) for x in f), zero)
+            e0 = e1 = e2 = 0.0
+            for x in f:
+                v = get(x)
+                if v is not None:
+                    e0 += v[0]
+                    e1 += v[1]
+                    e2 += v[2]
             if i:
-                m = score[:, None] + self.t[:3]
-                back.append(m.argmax(0))
-                score = m.max(0) + e
-            else:
-                score = score + e
-        path = [int(score.argmax())]
+                n = []
+                for k in (0, 1, 2):
+                    a, b, c = s0 + t0[k], s1 + t1[k], s2 + t2[k]
+                    n.append((a, 0) if a >= b and a >= c else (b, 1) if b >= c else (c, 2))
+                back.append((n[0][1], n[1][1], n[2][1]))
+                s0, s1, s2 = n[0][0], n[1][0], n[2][0]
+            s0, s1, s2 = s0 + e0, s1 + e1, s2 + e2
+        y = 0 if s0 >= s1 and s0 >= s2 else 1 if s1 >= s2 else 2
+        path = [y]
         for b in reversed(back):
-            path.append(int(b[path[-1]]))
+            y = b[y]
+            path.append(y)
         return path[::-1]
 
     def fit(self, data: list[tuple[list[list[str]], list[int]]], epochs: int = 4) -> LineModel:
@@ -168,8 +232,8 @@ class LineModel:
                     for f, a, b in zip(feats, gold, got, strict=True):
                         if a != b:
                             for x in f:
-                                v = self.w.setdefault(x, np.zeros(3))
-                                total[x] += v * (steps - last[x])
+                                v = self.w.setdefault(x, [0.0, 0.0, 0.0])
+                                total[x] += np.array(v) * (steps - last[x])
                                 last[x] = steps
                                 v[a] += 1
                                 v[b] -= 1
@@ -178,8 +242,8 @@ class LineModel:
                         self.t[b1, b2] -= 1
                 tt += self.t
         for x, v in self.w.items():
-            total[x] += v * (steps - last[x])
-        self.w = {x: v / max(1, steps) for x, v in total.items()}
+            total[x] += np.array(v) * (steps - last[x])
+        self.w = {x: (v / max(1, steps)).tolist() for x, v in total.items()}
         self.t = tt / max(1, steps)
         return self
 
@@ -263,6 +327,8 @@ def train_lines(texts: list[str], words: Words, seed: int = 3) -> LineModel:
 def repair(text: str, words: Words, model: LineModel) -> tuple[str, set[str]]:
     """(paragraph text, kinds of noise found)."""
     noise: set[str] = set()
+    if "\n" not in text and "\r" not in text:
+        return text.strip(), {"misread"} if words.any_misread(text.split()) else noise
     lines = _BREAK.split(text)
     if len(lines) > 1:
         filled = [x for x in lines if x.strip()]
@@ -272,39 +338,31 @@ def repair(text: str, words: Words, model: LineModel) -> tuple[str, set[str]]:
     out = ""
     for x in lines:
         x = x.strip()
-        m = _BROKEN.search(out)
-        head = re.match(r"[^\W\d_]\S*", x)
-        if out and m and head:
-            left, right = m[1].lstrip(_EDGE), head[0].rstrip(_EDGE)
+        end = out.rstrip()
+        broken = len(end) > 1 and end[-1] in _HYPHENS and end[-2].isalpha()
+        if not broken or not x:
+            out = f"{out} {x}" if out and x else out or x
+            continue
+        if x[0].isalpha():
+            left, right = end[:-1].rsplit(None, 1)[-1].lstrip(_EDGE), x.split(None, 1)[0].rstrip(_EDGE)
             whole, compound = left + right, f"{left}-{right}"
-            broken = words.knows(whole) or not words.knows(compound) and (components(whole) in words.seen or components(compound) not in words.seen)
-            if broken:
+            if words.knows(whole) or not words.knows(compound) and (components(whole) in words.seen or components(compound) not in words.seen):
                 noise.add("hyphenation")
-                out = out.rstrip()[:-1] + x
-            else:
-                out = out.rstrip() + x
-        elif m and x and not head:
-            out = out.rstrip() + x
-        else:
-            out = f"{out} {x}" if out and x else out or x
-    before = ""
-    for t in out.split():
-        w = t.strip(_EDGE)
-        if words.misread(w, before):
-            noise.add("misread")
-            break
-        before = w
+                end = end[:-1]
+        out = end + x
+    if words.any_misread(out.split()):
+        noise.add("misread")
     return out, noise
 
 
 def word_counts(texts: DataFrame, text: str, rate: float = 1e-6) -> list[tuple[str, int, int]]:
     """(word, count in texts without line breaks, count in all) of words that make up at least `rate` of all word
     occurrences: at most 1/rate entries, whatever the size of the corpus. Counts cover all texts."""
-    one = (~F.col(text).rlike(r"[\r\n]")).cast("int").alias("one")
-    w = texts.where(F.col(text).isNotNull()).select(one, F.explode(F.split(F.col(text), r"\s+")).alias("w"))
-    w = w.select("one", F.regexp_replace("w", r"""^[.,;:()\[\]"'“”‘’!?]+|[.,;:()\[\]"'“”‘’!?]+$""", "").alias("w")).where(r"w RLIKE '[^0-9.,/–-]' AND length(w) <= 64")
-    c = w.groupBy("w").agg(F.sum("one").alias("one"), F.count(F.lit(1)).alias("n"))
-    c = cut(c)
+    edge = F.lit(_EDGE)
+    one = (~F.contains(text, F.lit("\n"))).cast("int").alias("one")
+    w = texts.where(F.col(text).isNotNull()).select(one, F.explode(F.split(F.translate(text, "\r\n\t", "   "), " ")).alias("w"))
+    c = w.groupBy(F.trim("w", edge).alias("w")).agg(F.sum("one").alias("one"), F.count(F.lit(1)).alias("n"))
+    c = cut(c.where(r"w RLIKE '[^0-9.,/–-]' AND length(w) <= 64"))
     total = c.agg(F.sum("n")).first()[0] or 0
     return [(r["w"], r["one"], r["n"]) for r in c.where(F.col("n") >= rate * total).collect()]
 
@@ -318,15 +376,30 @@ def fit(texts: DataFrame, text: str, sample: int = 3000) -> tuple[Words, LineMod
     return words, train_lines([r[0] for r in rows], words)
 
 
-def clean(df: DataFrame, key: str, text: str, words: Words, model: LineModel) -> DataFrame:
-    """key, paragraph STRING, noise ARRAY<STRING>. Narrow."""
+def clean(df: DataFrame, key: str, text: str, words: Words, model: LineModel, paragraphs: bool = True) -> DataFrame:
+    """key, paragraph STRING (null unless asked for), noise ARRAY<STRING>. Narrow."""
     shared = df.sparkSession.sparkContext.broadcast((words, model))  # at most 1/rate words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, m = shared.value
+        short: dict[str, tuple[str, set[str]]] = {}  # section headings come again and again
+
+        def one(t: str | None) -> tuple[str | None, set[str]]:
+            if t is None:
+                return None, set()
+            if len(t) > 40:
+                return repair(t, w, m)
+            r = short.get(t)
+            if r is None:
+                r = repair(t, w, m)
+                if len(short) < 50_000:
+                    short[t] = r
+            return r
+
         for b in batches:
-            done = [repair(t, w, m) if t is not None else (None, set()) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([p for p, _ in done], pa.string()), pa.array([sorted(n) for _, n in done], pa.list_(pa.string()))], names=["k", "paragraph", "noise"])
+            done = [one(t) for t in b.column(1).to_pylist()]
+            p = pa.array([p for p, _ in done], pa.string()) if paragraphs else pa.nulls(len(done), pa.string())
+            yield pa.record_batch([b.column(0), p, pa.array([sorted(n) for _, n in done], pa.list_(pa.string()))], names=["k", "paragraph", "noise"])
 
     ship(df.sparkSession)
     return df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, paragraph string, noise array<string>").withColumnRenamed("k", key)
@@ -334,5 +407,5 @@ def clean(df: DataFrame, key: str, text: str, words: Words, model: LineModel) ->
 
 def found(texts: DataFrame, key: str = "item_id", text: str = "source_section") -> DataFrame:
     words, model = fit(texts, text)
-    c = clean(texts.where(F.col(text).rlike(r"\S")), key, text, words, model)
+    c = clean(texts.where(F.trim(text) != ""), key, text, words, model, paragraphs=False)
     return c.select(key, F.explode("noise").alias("noise")).distinct()

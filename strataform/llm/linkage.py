@@ -3,7 +3,7 @@
 Candidates share an identifier text or a set of title words that is rare in the whole data. Labelling functions vote on each
 candidate: match, no match, or abstain. A generative label model (two latent classes, functions independent
 given the class but for pairs found to be correlated, which are then modelled jointly) is fitted by EM on the
-histogram of vote patterns and yields the posterior of each pattern. The histogram has at most 3 to the number of
+histogram of vote patterns and yields the posterior of each pattern; abstentions count for neither class. The histogram has at most 3 to the number of
 functions entries, whatever the size of the data.
 
 Records with equal attributes are handled once as a class and joined back to their ids at the end, so that copies
@@ -140,8 +140,8 @@ def votes(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     cut_off = F.startswith("a_place", "b_place") | F.startswith("b_place", "a_place")
     columns = {
         "identifier": agree(F.col("a_d"), F.col("b_d")),
-        "words": F.when(~usable, NONE).when(F.col("hold") >= 0.7, MATCH).when(F.col("hold") < 0.5, DIFFER).otherwise(NONE),
-        "letters": F.when(F.col("near").isNull() | ~usable, NONE).when(F.col("near") >= 0.8, MATCH).when(F.col("near") < 0.6, DIFFER).otherwise(NONE),
+        "words": F.when(~usable, NONE).when(F.col("hold") >= 0.68, MATCH).when(F.col("hold") < 0.62, DIFFER).otherwise(NONE),
+        "letters": F.when(F.col("near").isNull() | ~usable, NONE).when(F.col("near") >= 0.8, MATCH).when(F.col("near") < 0.7, DIFFER).otherwise(NONE),
         "nuclide": F.when((F.size("a_nuclides") < 1) | (F.size("b_nuclides") < 1), NONE).when(F.arrays_overlap("a_nuclides", "b_nuclides"), MATCH).otherwise(DIFFER),
         "place": F.when(place.isNull(), NONE).when(place == 0, MATCH).when((place <= 3) | cut_off, NONE).otherwise(DIFFER),
         "kind": F.when(~usable, NONE).when(F.col("a_kind") != F.col("b_kind"), DIFFER).when(F.col("a_kind") != "", MATCH).otherwise(NONE),
@@ -170,31 +170,35 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: tuple[str, ...] = FUNCT
     v = patterns + 1
     total = counts.sum()
     base = [np.array(BELIEF[n]) for n in names]
-    score = sum(np.log(base[j][0][v[:, j]] / base[j][1][v[:, j]]) for j in range(len(names)))
+    score = sum(np.where(v[:, j] == 1, 0.0, np.log(base[j][0][v[:, j]] / base[j][1][v[:, j]])) for j in range(len(names)))
     post = 1 / (1 + np.exp(-np.clip(score - 2, -50, 50)))
 
     def em(cliques: list[tuple[int, ...]], post: np.ndarray) -> np.ndarray:
-        codes = [sum(v[:, j] * 3**k for k, j in enumerate(c)) for c in cliques]
-        sizes = [3 ** len(c) for c in cliques]
-        priors = []
+        # abstentions say nothing: a clique is split by which of its functions vote, and each part has the chances
+        # of its votes alone
+        parts = []
         for c in cliques:
-            pr = []
-            for y in (0, 1):
-                t = base[c[0]][y]
-                for j in c[1:]:
-                    t = (base[j][y][:, None] * t[None, :]).ravel()
-                pr.append(t)
-            priors.append(pr)
-        fixed = [len(c) == 1 and names[c[0]] in DEFINED for c in cliques]
+            for k in range(1, 2 ** len(c)):
+                sub = tuple(j for i, j in enumerate(c) if k >> i & 1)
+                rows = np.all([(v[:, j] != 1) == (j in sub) for j in c], axis=0)
+                code = sum((v[:, j] // 2) * 2**i for i, j in enumerate(sub))
+                priors = []
+                for y in (0, 1):
+                    t = np.ones(1)
+                    for j in sub:
+                        q = base[j][y][[0, 2]] / base[j][y][[0, 2]].sum()
+                        t = (q[:, None] * t[None, :]).ravel()
+                    priors.append(t)
+                parts.append((rows, code[rows], priors, len(c) == 1 and names[c[0]] in DEFINED))
         for _ in range(rounds):
             w = (counts * post, counts * (1 - post))
             pi = np.clip((w[0].sum() + 1) / (total + 2), 1e-9, 1 - 1e-9)
             log = [np.full(len(v), np.log(pi)), np.full(len(v), np.log(1 - pi))]
-            for code, size, pr, known in zip(codes, sizes, priors, fixed, strict=True):
+            for rows, code, priors, known in parts:
                 for y in (0, 1):
-                    pseudo = (5 + strength * w[y].sum()) * pr[y]
-                    n = pr[y] if known else np.bincount(code, w[y], size) + pseudo
-                    log[y] += np.log(n / n.sum())[code]
+                    pseudo = (5 + strength * w[y].sum()) * priors[y]
+                    n = priors[y] if known else np.bincount(code, w[y][rows], len(pseudo)) + pseudo
+                    log[y][rows] += np.log(n / n.sum())[code]
             new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -60, 60)))
             if np.abs(new - post).max() < 1e-7:
                 return new

@@ -173,12 +173,16 @@ class ByteNet:
         return np.concatenate([self.forward(b[i : i + batch])[0] for i in range(0, len(b), batch)]) if len(b) else np.zeros((0, len(LANGS)))
 
 
-def train(rows: list[tuple[str, str]], per_language: int = 2500, epochs: int = 5) -> ByteNet | None:
-    """Fit on (language, text) rows. At most per_language windows a language, one of each sentence, drawn evenly."""
+def train(rows: list[tuple[str, str]], per_language: int = 2500, epochs: int = 5, per_text: int = 12) -> ByteNet | None:
+    """Fit on (language, text) rows. At most per_language windows a language, one of each sentence drawn; a text gives
+    at most per_text sentences, so that a long one with a wrong label does not stand for its language."""
     r = np.random.default_rng(11)
     xs, ys = [], []
     for y, lang in enumerate(LANGS):
-        own = [t[a:b] for g, t in rows if g == lang for a, b in sentences(t)]
+        own = []
+        for t in (t for g, t in rows if g == lang):
+            found = sentences(t)
+            own += [t[a:b] for a, b in (found if len(found) <= per_text else [found[i] for i in r.choice(len(found), per_text, replace=False)])]
         r.shuffle(own)
         if not own:
             continue

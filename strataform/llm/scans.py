@@ -43,6 +43,9 @@ def components(word: str) -> str:
     return word.lower().translate(_SAME)
 
 
+_NUMBER_LIKE = re.compile(r"(?=.*\d)(?=.*[A-Za-z])[0-9OolISBZ.,–-]+")
+
+
 class Words:
     """Words the corpus knows, and their components."""
 
@@ -56,8 +59,11 @@ class Words:
             m[0], m[1] = max(m[0], one), max(m[1], every)
         self.known = set()
         scanned_only = not any(m[0] for m in most.values())
+        often = max(5.0, 1e-5 * sum(one for _, one, _ in counts))  # labels such as S1; rarer ones are misread numbers
         for w, one, every in counts:
             m = most[components(w)]
+            if _NUMBER_LIKE.fullmatch(w) and one < often:
+                continue
             if one >= 0.01 * m[0] > 0 or (scanned_only and every >= 0.05 * m[1]):
                 self.known.add(w)
         self.lower = {w.lower() for w in self.known}

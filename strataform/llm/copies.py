@@ -57,7 +57,7 @@ def multiset_hash(pairs: Column, seed: int) -> Column:
 
 def same_multiset(a: str, b: str) -> Column:
     """Equality of two field arrays as multisets: as long, and each element as often in either."""
-    return F.expr(f"size({a}) = size({b}) AND forall({a}, x -> size(filter({a}, y -> y = x)) = size(filter({b}, y -> y = x)))")
+    return F.expr(f"size({a}) = size({b}) AND forall({a}, one_ -> size(filter({a}, other_ -> other_ = one_)) = size(filter({b}, other_ -> other_ = one_)))")
 
 
 def fingerprints(df: DataFrame, key: str, scope: list[str], payload: str) -> DataFrame:

@@ -45,6 +45,11 @@ def _quotes(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One row per distinct record, with its number of copies."""
+    return copies.collapsed(table(spark, d, "raw_items", "raw_id", "paper_id", "section", "payload"), "raw_id", ["paper_id", "section"], "payload")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found(_quotes(spark, d))
 
@@ -53,6 +58,29 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every quote."""
+    q = _quotes(spark, d)
+    words, model = scans.fit(q, "source_section")
+    return scans.clean(q, "item_id", "source_section", words, model).select("item_id", "paragraph").distinct()
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The links with their confidence."""
+    return _links(spark, d)
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every concentration in its one form."""
+    return lookalike.unify(table(spark, d, "acids_and_solvents", "item_id", "concentration"), "concentration", ["item_id"]).distinct()
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment with its language and confidence."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return langid.segments(docs, "doc_id", "text", langid.train(langid.training_rows(docs, "text", "lang"))).drop("best")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs, tests = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text")
     return leakage.scan(docs, tests, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
@@ -62,5 +90,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.found(table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_segments": p10_segments}
+_ORDINARY = "[^\\x09\\x0A\\x0D\\x20-\\x7E²³¹⁰⁴-⁹₀-₉–·×°µßÀ-ÖØ-öø-ÿĀ-İĲ-ķĹ-ŉŌ-žαβγ]"
+_ODD = " UNION ".join(
+    f"SELECT item_id, '{c}' AS field FROM {t} WHERE regexp_matches({c}, '{_ORDINARY}') OR nfc_normalize({c}) <> {c}"
+    for t, c in (("acids_and_solvents", "concentration"), ("target_materials", "isotope"), ("target_materials", "chemical_formula"))
+)
+ORACLE: dict[str, str] = {"p3_found": _ODD}

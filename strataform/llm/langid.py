@@ -129,14 +129,21 @@ class ByteNet:
         logp = z - np.log(np.exp(z).sum(1, keepdims=True))
         return (logp, f, where, x) if keep else (logp,)
 
-    def gradients(self, b: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        logp, f, where, x = self.forward(b, True)
+    def gradients(self, b: np.ndarray, y: np.ndarray, rng: np.random.Generator, drop: float = 0.3, smooth: float = 0.1) -> dict[str, np.ndarray]:
+        """Cross entropy with smoothed labels, a share of the pooled features dropped: labels are noisy and samples
+        small, and the network must not be sure of text unlike any it has seen."""
+        _, f, where, x = self.forward(b, True)
         n = len(b)
-        d = np.exp(logp)
-        d[np.arange(n), y] -= 1
+        kept = ((rng.random(f.shape) >= drop) / (1 - drop)).astype(np.float32)
+        f = f * kept
+        z = f @ self.p["O"] + self.p["o"]
+        d = np.exp(z - z.max(1, keepdims=True))
+        d /= d.sum(1, keepdims=True)
+        d -= smooth / d.shape[1]
+        d[np.arange(n), y] -= 1 - smooth
         d /= n
         g = {"O": f.T @ d, "o": d.sum(0)}
-        df = (d @ self.p["O"].T) * (f > 0)
+        df = (d @ self.p["O"].T) * (f > 0) * kept
         e, m = x.shape[2], self.p["W2"].shape[1]
         rows = np.arange(n)[:, None]
         idx, val = [], []
@@ -163,7 +170,7 @@ class ByteNet:
             for a in range(0, len(b), batch):
                 i = order[a : a + batch]
                 t += 1
-                for k, v in self.gradients(b[i], y[i]).items():
+                for k, v in self.gradients(b[i], y[i], r).items():
                     m1[k] = 0.9 * m1[k] + 0.1 * v
                     m2[k] = 0.999 * m2[k] + 0.001 * v * v
                     self.p[k] -= (rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -200,7 +207,7 @@ def train(rows: list[tuple[str, str]], per_language: int = 2500, epochs: int = 5
     return ByteNet().fit(b[sound], y[sound], epochs)
 
 
-def training_rows(docs: DataFrame, text: str, lang: str, documents: int = 250) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, text: str, lang: str, documents: int = 600) -> list[tuple[str, str]]:
     """(language, text) of at most `documents` labelled documents of each language, the smallest by hash; of a very
     long one its first 20,000 characters. A bounded sample for fitting only."""
     src = docs.select(label(F.col(lang)).alias("g"), F.substring(text, 1, 20000).alias("t")).where(F.col("g").isNotNull() & F.col("t").rlike(r"[.!?]"))
@@ -268,7 +275,7 @@ def segments(docs: DataFrame, key: str, text: str, net: ByteNet) -> DataFrame:
     return src.mapInArrow(run, "k bigint, segment_no int, lang string, confidence double, start int, length int, best double").withColumnRenamed("k", key)
 
 
-def found(docs: DataFrame, key: str, text: str, lang: str, sure: float = 0.9) -> DataFrame:
+def found(docs: DataFrame, key: str, text: str, lang: str, sure: float = 0.8) -> DataFrame:
     """(key, lang) of documents whose label is missing or not that of the text, or whose text is in more than one
     language. The language of most of the text counts, and each other with a sentence of confidence `sure`."""
     net = train(training_rows(docs, text, lang))

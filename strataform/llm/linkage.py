@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions.lookalikes import fold
 from strataform.functions.stage import staged
+from strataform.operators.skew import hot_split_lookup
 from strataform.session import cut
 
 #: Votes in this order; see votes().
@@ -80,7 +81,7 @@ def profiles(df: DataFrame, key: str, title: str, doi: str, source: str, pages:
 def rare_sets(words: list[tuple[int, str]], total: float, expected: float) -> list[list[str]]:
     """Sets of words so rare together that a title is expected to share one with at most `expected` unrelated others
     (total * product of the words' shares). words: (count, word), rarest first. No set holds a smaller one's work:
-    a set ends with the word that makes it rare enough. All words together are a set if no fewer are rare enough."""
+    a set ends with the word that makes it rare enough. All words together are a set if none is rare enough."""
     out: list[list[str]] = []
 
     def grow(start: int, chosen: list[str], rate: float) -> None:
@@ -93,29 +94,45 @@ def rare_sets(words: list[tuple[int, str]], total: float, expected: float) -> li
                 grow(i + 1, [*chosen, w], r)
 
     grow(0, [], total)
-    return out or ([[w for _, w in words]] if len(words) > 2 else [])
+    return out or ([[w for _, w in words]] if words else [])
 
 
-def candidates(a: DataFrame, b: DataFrame, rarest: int = 9, common: float = 0.2, expected: float = 0.5) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, rarest: int = 9, expected: float = 0.5) -> DataFrame:
     """(a, b): pairs of classes that share an identifier or a set of title words that is rare in the whole data, so
     that the number of candidates grows as the data, not as its square. Sets are built of a title's `rarest` words.
-    Words that only one side knows (slips) and those in more than `common` of all titles do not count; the latter are
-    at most (words per title / common), so that they are broadcast whatever the data's size."""
+
+    Words that only one side knows (slips) do not count. Titles with the same other words are one title: words are
+    counted over such titles, not over classes, so that a work with very many copies does not make its own words
+    common, and sets are built and compared once a title. No word is too common to count: a title of common words
+    has sets of more words, at last the one of all its words."""
     wa, wb = a.select("rep", F.explode("w").alias("w")), b.select("rep", F.explode("w").alias("w"))
-    df = cut(wa.groupBy("w").agg(F.count(F.lit(1)).alias("na")).join(wb.groupBy("w").agg(F.count(F.lit(1)).alias("nb")), "w").select("w", (F.col("na") + F.col("nb")).alias("n")))
-    total = a.count() + b.count()
-    often = df.where(F.col("n") > common * total).select("w")
-    useful = df.where(F.col("n") <= common * total)
+    both = cut(wa.groupBy("w").agg(F.count(F.lit(1)).alias("na")).join(wb.groupBy("w").agg(F.count(F.lit(1)).alias("nb")), "w").select("w", (F.col("na") + F.col("nb")).alias("n")))
 
-    @F.pandas_udf("array<string>")
-    def sets(s: pd.Series) -> pd.Series:
-        return s.map(lambda r: ["\x1f".join(sorted(x)) for x in rare_sets([(e["n"], e["w"]) for e in r], total, expected)])
+    def known(w: DataFrame, name: str) -> DataFrame:
+        k = hot_split_lookup(w, both, ["w"], "n").groupBy("rep").agg(F.array_sort(F.collect_list("w")).alias("k"))
+        return cut(k.select(F.col("rep").alias(name), "k", F.xxhash64("k").alias("g")))
 
-    def keys(x: DataFrame, name: str) -> DataFrame:
-        top = x.join(F.broadcast(often), "w", "left_anti").join(useful, "w").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, rarest).alias("r"))
-        return top.select(F.col("rep").alias(name), F.explode(sets("r")).alias("s")).select(name, F.xxhash64("s").alias("h"))
+    ka, kb = known(wa, "a"), known(wb, "b")
+    side = lambda x, na, nb: x.select("k", "g", F.lit(na).cast("bigint").alias("na"), F.lit(nb).cast("bigint").alias("nb"))
+    titles = cut(side(ka, 1, 0).unionByName(side(kb, 0, 1)).groupBy("k", "g").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")))
+    total = titles.count()
+    words = titles.select("k", "g", "na", "nb", F.explode("k").alias("w"))
+    counts = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("m")).withColumn("n", F.col("m")))
 
-    by_words = keys(wa, "a").join(keys(wb, "b"), "h").select("a", "b")
+    @F.pandas_udf("array<string>")
+    def sets(s: pd.Series) -> pd.Series:
+        return s.map(lambda r: ["\x1f".join(sorted(x)) for x in rare_sets([(e["m"], e["w"]) for e in r], total, expected)])
+
+    top = hot_split_lookup(words, counts, ["w"], "n").groupBy("k", "g", "na", "nb").agg(F.slice(F.array_sort(F.collect_list(F.struct("m", "w"))), 1, rarest).alias("r"))
+    keys = cut(top.select("g", "na", "nb", F.explode(sets("r")).alias("s")).select("g", "na", "nb", F.xxhash64("s").alias("h")))
+    left = keys.where("na > 0").select("h", F.col("g").alias("ga"), "na")
+    right = keys.where("nb > 0").select("h", F.col("g").alias("gb"), "nb")
+    linked = cut(left.join(right, "h").select("ga", "gb", "na", "nb").distinct())
+    # titles back to classes: a title of very many classes is sent by broadcast
+    near_a = hot_split_lookup(ka.select("a", F.col("g").alias("ga")), linked.select("ga", "gb", "na"), ["ga"], "na").select("a", "gb")
+    weights = cut(linked.groupBy("gb").agg(F.sum("na").alias("n"), F.first("nb").alias("nb")))
+    near_b = cut(hot_split_lookup(kb.select("b", F.col("g").alias("gb")), weights, ["gb"], "nb"))
+    by_words = hot_split_lookup(near_a, near_b, ["gb"], "n").select("a", "b")
     by_doi = a.where("d IS NOT NULL").select(F.col("rep").alias("a"), "d").join(b.where("d IS NOT NULL").select(F.col("rep").alias("b"), "d"), "d").select("a", "b")
     return by_words.unionByName(by_doi).distinct()
 

@@ -90,6 +90,21 @@ def test_linkage(spark):
     assert linkage.link(a.limit(0), b, ca, cb).count() == 0
 
 
+def test_hot_work_is_a_candidate(spark):
+    """A work that holds a third of all classes, each copy with a slip, still meets its entry; so do short titles."""
+    r = random.Random(4)
+    w = lambda n: "".join(r.choice("bcdfgklmnprstv") + r.choice("aeiou") for _ in range(n))
+    pool = [w(4) for _ in range(80)]
+    title = [w(4) for _ in range(8)]
+    papers = [(i, [x if j != i % 8 else f"{x}slip{i}" for j, x in enumerate(title)]) for i in range(200)]
+    papers += [(1000 + i, r.sample(pool, 6)) for i in range(200)] + [(3000, ["common", "words"])]
+    books = [(1, title), (2, ["common", "words"])] + [(5000 + i, x) for i, x in papers if 1000 <= i < 3000] + [(9000 + i, ["common", "words", *r.sample(pool, 6)]) for i in range(120)]
+    a, b = (spark.createDataFrame([(i, x, None) for i, x in rows], "rep long, w array<string>, d string") for rows in (papers, books))
+    got = {(x.a, x.b) for x in linkage.candidates(a, b).collect()}
+    assert {(i, 1) for i in range(200)} <= got and (3000, 2) in got
+    assert {(1000 + i, 6000 + i) for i in range(200)} <= got and len(got) < 2000
+
+
 def test_label_model_learns_a_bad_function():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.3

@@ -85,6 +85,15 @@ def found(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return out.distinct()
 
 
+def forms(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """(item_id, field, form, odd) of each value, odd or not. tables: (df, column, field)."""
+    parts = [unify(df, c, ["item_id"]).select("item_id", F.lit(f).alias("field"), "form", "odd") for df, c, f in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def unify_local(text: str | None) -> str | None:
     """The same form by plain Python; the tests hold the embedded SQL against it."""
     import unicodedata

@@ -31,9 +31,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).select("paper_id", "entry_id").distinct()
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _forms(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str]]:
     t = lambda n, c: (table(spark, d, n, "item_id", c), c, c)
-    return lookalike.found([t("acids_and_solvents", "concentration"), t("target_materials", "isotope"), t("target_materials", "chemical_formula")])
+    return [t("acids_and_solvents", "concentration"), t("target_materials", "isotope"), t("target_materials", "chemical_formula")]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(_forms(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +75,8 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every concentration in its one form."""
-    return lookalike.unify(table(spark, d, "acids_and_solvents", "item_id", "concentration"), "concentration", ["item_id"]).distinct()
+    """Every concentration, isotope and chemical formula in its one form."""
+    return lookalike.forms(_forms(spark, d))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strataform.llm import copies, lookalike, tokens
+from strataform.llm import copies, lookalike, queries, tokens
 
 
 # ---- look-alikes ------------------------------------------------------------------------------------------------
@@ -25,6 +25,13 @@ def test_lookalikes(spark):
     assert lookalike.found([(df.limit(0), "v", "v")]).count() == 0
 
 
+def test_forms_of_all_three_fields(spark, tmp_path):
+    spark.createDataFrame([(1, "6\u200b M"), (2, "6 M"), (2, "6 M")], "item_id long, concentration string").write.parquet(str(tmp_path / "acids_and_solvents.parquet"))
+    spark.createDataFrame([(1, "⁶⁴Ni", "Ni\u200b"), (3, None, "NiO")], "item_id long, isotope string, chemical_formula string").write.parquet(str(tmp_path / "target_materials.parquet"))
+    got = sorted((r.field, r.item_id, r.form, r.odd) for r in queries.p3_forms(spark, str(tmp_path)).collect())
+    assert got == [("chemical_formula", 1, "Ni", True), ("chemical_formula", 3, "NiO", False), ("concentration", 1, "6 M", True), ("concentration", 2, "6 M", False), ("isotope", 1, "⁶⁴Ni", False), ("isotope", 3, None, False)]
+
+
 # ---- copies -----------------------------------------------------------------------------------------------------
 
 

@@ -30,10 +30,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.p7_found(table(spark, d, "extraction_records", "record_id", "record"))
 
 
+def _section(spark: SparkSession, d: str, section: str) -> DataFrame:
+    flat = nested.flatten_items(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record", [section])
+    return nested.section_table(flat, section)
+
+
+def p7_acid_table(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables, one a section; their rows still point to their record."""
+    return _section(spark, d, "acids_and_solvents")
+
+
 def p7_elution_table(spark: SparkSession, d: str) -> DataFrame:
-    """One of the flat tables: elution conditions that still point to their record."""
-    return nested.section_table(nested.flatten_items(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record"), "elution_conditions")
+    return _section(spark, d, "elution_conditions")
+
+
+def p7_product_table(spark: SparkSession, d: str) -> DataFrame:
+    return _section(spark, d, "final_products")
+
+
+def p7_resin_table(spark: SparkSession, d: str) -> DataFrame:
+    return _section(spark, d, "resins_or_columns")
+
+
+def p7_record_table(spark: SparkSession, d: str) -> DataFrame:
+    """The parent table: every record that is one JSON object, with its title, doi and source."""
+    return nested.record_table(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record")
 
 
-QUERIES = {"p6_found": p6_found, "p6_amounts": p6_amounts, "p7_found": p7_found, "p7_elution_table": p7_elution_table}
+QUERIES = {"p6_found": p6_found, "p6_amounts": p6_amounts, "p7_found": p7_found, "p7_acid_table": p7_acid_table, "p7_elution_table": p7_elution_table, "p7_product_table": p7_product_table, "p7_resin_table": p7_resin_table, "p7_record_table": p7_record_table}
 ORACLE: dict[str, str] = {}

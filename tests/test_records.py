@@ -30,6 +30,21 @@ def test_section_table_keeps_links(spark):
     assert [(r.record_key, r.item_no, r.name, r.yield_, r.purity) for r in t] == [(5, 0, "x", "3 %", None), (5, 2, "4.5", None, '{"a":1}')]
 
 
+def test_all_flat_tables(spark, tmp_path):
+    from strataform.plans import registry
+
+    meta = {"paper_metadata": {"title": "T", "doi": "10.1/a", "source": "S"}}
+    items = {s: [{f: f"{f} of {s}" for f in nested.SECTION_FIELDS[s]}, {}] for s in nested.FLAT_SECTIONS}
+    rows = [(1, json.dumps(meta | json.loads(record(**items)))), (2, "{}"), (3, '{"cut'), (1, "{}")]
+    spark.createDataFrame(rows, "record_id long, record string").write.parquet(str(tmp_path / "extraction_records.parquet"))
+    q = registry.queries()
+    for name, s in {"p7_acid_table": "acids_and_solvents", "p7_elution_table": "elution_conditions", "p7_product_table": "final_products", "p7_resin_table": "resins_or_columns"}.items():
+        got = sorted((r.asDict() for r in q[name](spark, str(tmp_path)).collect()), key=lambda r: r["item_no"])
+        assert got == [{"record_key": 1, "item_no": 0} | items[s][0], {"record_key": 1, "item_no": 1} | dict.fromkeys(nested.SECTION_FIELDS[s])]
+    got = sorted(q["p7_record_table"](spark, str(tmp_path)).collect(), key=str)
+    assert [tuple(r) for r in got] == [(1, "T", "10.1/a", "S"), (1, None, None, None), (2, None, None, None)]
+
+
 def test_scores(spark):
     full = record(
         target_materials=[{"name": "Nickel", "isotope": "64Ni", "chemical_formula": "Ni", "physical_form": "foil", "source_section": "s"}],

@@ -6,7 +6,7 @@ positions from the list offsets, parent keys by one vectorised take. No record i
 
 Cases: a null, empty, truncated or non-object text gives no rows; sections of another shape give none;
 array elements that are not objects are counted by item_no but give no row; empty objects give a row of
-nulls; repeated records give their rows again under their own record key; unknown fields are kept in
+nulls; of repeated keys the last counts; repeated records give their rows again under their own record key; unknown fields are kept in
 `rest` only as JSON text; extra columns of the input are ignored.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.session import ship
@@ -33,9 +33,16 @@ FLAT_SECTIONS = ["acids_and_solvents", "elution_conditions", "final_products", "
 _END = "#end-of-record#"
 
 
+def keep_last_keys(spark: SparkSession) -> None:
+    """Let variants hold texts with repeated keys: the last of them counts, at any depth. Without this setting of the
+    session one repeated key makes the whole text null."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def complete_object(text: str) -> Column:
     """Variant of the text if it is one complete JSON object, else null. The text is parsed inside an
-    array before a marker: whatever follows or breaks the object, the marker is then not element 1."""
+    array before a marker: whatever follows or breaks the object, the marker is then not element 1.
+    See keep_last_keys for repeated keys."""
     whole = f"try_parse_json(concat('[', `{text}`, ',\"{_END}\"]'))"
     ok = f"try_variant_get(w, '$[1]', 'string') = '{_END}' AND try_variant_get(w, '$[2]', 'string') IS NULL AND schema_of_variant(try_variant_get(w, '$[0]', 'variant')) LIKE 'OBJECT%'"
     return F.expr(f"transform(array({whole}), w -> CASE WHEN {ok} THEN try_variant_get(w, '$[0]', 'variant') END)[0]")
@@ -72,6 +79,7 @@ def flatten_items(df: DataFrame, key: str, text: str, sections: list[str] | None
     """record_key BIGINT, section STRING, item_no INT, item STRING (JSON of the object): one row per object
     in `items` of each section. Narrow: no shuffle, whatever the size of a record."""
     sections = sections or FLAT_SECTIONS
+    keep_last_keys(df.sparkSession)
     src = df.select(F.col(key).cast("bigint").alias("record_key"), F.col(text).alias("__text"))
     src = src.where(F.col("__text").isNotNull()).select("record_key", complete_object("__text").alias("v"))
     lists = src.select("record_key", *[_items(s).alias(f"s{i}") for i, s in enumerate(sections)])
@@ -94,6 +102,7 @@ def section_table(flat: DataFrame, section: str) -> DataFrame:
 def record_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """The parent table: record_key with title, doi and source of paper_metadata; records that are not one
     JSON object are absent."""
+    keep_last_keys(df.sparkSession)
     v = df.select(F.col(key).cast("bigint").alias("record_key"), complete_object(text).alias("v")).where("v IS NOT NULL")
     return v.select("record_key", *[F.expr(f"try_variant_get(v, '$.paper_metadata.{f}', 'string')").alias(f) for f in ("title", "doi", "source")])
 

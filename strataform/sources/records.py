@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions.text import basename, canonical_id, experiment_number, stem_id
-from strataform.operators.nested import complete_object
+from strataform.operators.nested import complete_object, keep_last_keys
 
 KINDS = ("rag_output", "full_summary", "section_summaries")
 RECORD_SECTIONS = ("target_materials", "acids_and_solvents", "resins_or_columns", "elution_conditions", "final_products")
@@ -27,12 +27,14 @@ def with_record_flag(df: DataFrame, text: str, flag: str = "is_record") -> DataF
     out = arrays[0]
     for a in arrays[1:]:
         out = out | a
+    keep_last_keys(df.sparkSession)
     return df.withColumn("v", complete_object(text)).withColumn(flag, F.coalesce(out, F.lit(False))).drop("v")
 
 
 def gold_records(spark: SparkSession, path: str) -> DataFrame:
     """gold_path, stem, doi, title, source (canonical ids), text. Unreadable files are left out; count the files
     with json_files() for the total."""
+    keep_last_keys(spark)
     v = json_files(spark, path).withColumn("v", complete_object("text"))
     meta = {f: canonical_id(F.coalesce(F.expr(f"try_variant_get(v, '$.paper_metadata.{f}', 'string')"), F.lit(""))) for f in ("doi", "title", "source")}
     return v.where("v IS NOT NULL").select(F.col("path").alias("gold_path"), stem_id(F.col("path")).alias("stem"), *[c.alias(n) for n, c in meta.items()], "text")
@@ -43,6 +45,7 @@ def predicted_records(spark: SparkSession, path: str, kinds: tuple[str, ...] = K
     any depth."""
     parent = F.element_at(F.split("path", "/"), -2)
     df = json_files(spark, path, recursive=True).withColumn("kind", parent).where(F.col("kind").isin(*kinds)).distinct()
+    keep_last_keys(df.sparkSession)
     v = df.withColumn("v", complete_object("text"))
     meta = {f: canonical_id(F.coalesce(F.expr(f"try_variant_get(v, '$.paper_metadata.{f}', 'string')"), F.lit(""))) for f in ("doi", "title", "source")}
     return v.select("path", "kind", experiment_number(F.col("path")).alias("exp"), stem_id(F.col("path")).alias("stem"), F.regexp_replace(basename(F.col("path")), r"\.json$", "").alias("file"), *[c.alias(n) for n, c in meta.items()], F.col("v").isNotNull().alias("valid"), "text")

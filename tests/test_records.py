@@ -30,6 +30,20 @@ def test_section_table_keeps_links(spark):
     assert [(r.record_key, r.item_no, r.name, r.yield_, r.purity) for r in t] == [(5, 0, "x", "3 %", None), (5, 2, "4.5", None, '{"a":1}')]
 
 
+def test_repeated_keys_keep_the_last(spark):
+    rows = [
+        (1, '{"final_products": {"items": [{"name": "x", "name": "y"}]}, "a": 1, "a": 2}'), (2, '{"final_products": {"items": [{}]}, "final_products": {"items": [{}, {"name": "z"}]}}'),
+        (3, '{"paper_metadata": {"title": "old", "title": "new"}, "final_products": {"items": [{"name": "x"}, {"name": "y", "name": "'), (4, '{"a": 1, "a": 2} {}'),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, record string")
+    assert sorted(tuple(r) for r in nested.p7_found(df).collect()) == [(1, "final_products", 0), (2, "final_products", 0), (2, "final_products", 1)]
+    t = nested.section_table(nested.flatten_items(df, "record_id", "record"), "final_products").collect()
+    assert sorted((r.record_key, r.item_no, r.name) for r in t if r.name) == [(1, 0, "y"), (2, 1, "z")]
+    assert sorted(r.record_key for r in nested.record_table(df, "record_id", "record").collect()) == [1, 2]
+    whole = spark.createDataFrame([(1, '{"target_materials": {"items": []}, "x": {"k": 1, "k": 2}}')], "i int, t string")
+    assert records.with_record_flag(whole, "t").first().is_record
+
+
 def test_all_flat_tables(spark, tmp_path):
     from strataform.plans import registry
 

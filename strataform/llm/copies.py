@@ -68,17 +68,22 @@ def fingerprints(df: DataFrame, key: str, scope: list[str], payload: str) -> Dat
 
 
 def groups(fp: DataFrame) -> DataFrame:
-    """h1, h2, first_id, rf, rscope, n of each fingerprint that at least two records share. Combined on the
-    map side, so a group of a third of all rows travels as one row per task."""
+    """h1, h2, first_id, rf, rscope, n of each fingerprint. Combined on the map side, so a group of a third of all
+    rows travels as one row per task."""
     g = fp.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.min_by(F.struct("f", "scope"), "id").alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.where("n > 1").select("h1", "h2", "first_id", F.col("r.f").alias("rf"), F.col("r.scope").alias("rscope"), "n")
+    return g.select("h1", "h2", "first_id", F.col("r.f").alias("rf"), F.col("r.scope").alias("rscope"), "n")
+
+
+def _equal() -> Column:
+    """Whether a record has the fields and the scope of its group's first record."""
+    return same_multiset("f", "rf") & F.col("scope").eqNullSafe(F.col("rscope"))
 
 
 def copies(df: DataFrame, key: str, scope: list[str], payload: str) -> DataFrame:
     """(first_id, copy_id): each record that is a copy, with the smallest id of its group."""
     fp = fingerprints(df, key, scope, payload)
-    joined = hot_split_lookup(fp, cut(groups(fp)), ["h1", "h2"], "n")
-    equal = same_multiset("f", "rf") & F.col("scope").eqNullSafe(F.col("rscope"))
+    joined = hot_split_lookup(fp, cut(groups(fp).where("n > 1")), ["h1", "h2"], "n")
+    equal = _equal()
     sure = joined.where(equal & (F.col("id") != F.col("first_id"))).select("first_id", F.col("id").alias("copy_id"))
     other = joined.where(~equal).select("id", F.to_json("scope").alias("s"), F.to_json(F.array_sort("f")).alias("t"))
     regrouped = other.join(other.groupBy("s", "t").agg(F.min("id").alias("first_id")), ["s", "t"])
@@ -86,8 +91,14 @@ def copies(df: DataFrame, key: str, scope: list[str], payload: str) -> DataFrame
 
 
 def collapsed(df: DataFrame, key: str, scope: list[str], payload: str) -> DataFrame:
-    """One row per distinct record: first_id, n_copies (the record itself included), its fields as JSON. One
-    shuffle, combined on the map side; exact fields are part of the key, so nothing needs verifying."""
+    """One row per distinct record: first_id, n_copies (the record itself included), its fields as
+    array<struct<name,value>>, repeated ones as often as they come. Groups are verified as in copies()."""
     fp = fingerprints(df, key, scope, payload)
-    k = fp.select("id", *[F.col(f"scope.{s}").alias(s) for s in scope], "h1", "h2", F.to_json(F.map_from_entries(F.array_distinct(F.array_sort("f")))).alias("fields"))
-    return k.groupBy(*scope, "h1", "h2", "fields").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).select("first_id", "n_copies", *scope, "fields")
+    g = cut(groups(fp))
+    joined = hot_split_lookup(fp, g.where("n > 1"), ["h1", "h2"], "n")
+    other = cut(joined.where(~_equal()).select("h1", "h2", "id", "scope", "f"))  # only records whose fingerprints meet by chance
+    less = other.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("less"))
+    sure = g.join(less, ["h1", "h2"], "left").select("first_id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n_copies"), F.col("rscope").alias("scope"), F.col("rf").alias("fields"))
+    exact = other.groupBy(F.to_json("scope", {"ignoreNullFields": "false"}).alias("s"), F.to_json(F.array_sort("f")).alias("t"))
+    regrouped = exact.agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.min_by(F.struct("scope", "f"), "id").alias("r")).select("first_id", "n_copies", "r.scope", F.col("r.f").alias("fields"))
+    return sure.unionByName(regrouped).select("first_id", "n_copies", *[F.col(f"scope.{x}").alias(x) for x in scope], "fields")

@@ -50,6 +50,16 @@ def test_copies(spark):
     assert n[1] == 3 and n[4] == 1 and sum(n.values()) == len(rows)
 
 
+def test_repeated_names(spark, monkeypatch):
+    rows = [(1, '{"role": "a", "Role": "b"}'), (2, "role=b;ROLE=a"), (3, "HCl; 6 M"), (4, "6-M; HCl"), (5, "role=a; role=a"), (6, "role=a"), (7, '{"role": "a", "role": "b"}'), (8, None)]
+    df = spark.createDataFrame([(i, p, 1, "s") for i, p in rows], "raw_id long, payload string, paper_id int, section string")
+    want = [(1, 3, [("role", "a"), ("role", "b")]), (3, 2, [("", "6m"), ("", "hcl")]), (5, 1, [("role", "a"), ("role", "a")]), (6, 1, [("role", "a")]), (8, 1, [])]
+    run = lambda: sorted((r.first_id, r.n_copies, sorted(map(tuple, r.fields))) for r in copies.collapsed(df, "raw_id", ["paper_id", "section"], "payload").collect())
+    assert run() == want
+    monkeypatch.setattr(copies, "multiset_hash", lambda pairs, seed: F.lit(seed).cast("bigint"))  # all fingerprints meet
+    assert run() == want
+
+
 def test_hash_is_commutative_and_checked(spark):
     df = spark.createDataFrame([([("a", "1"), ("b", "2")], [("b", "2"), ("a", "1")], [("a", "1"), ("a", "1"), ("b", "2")])], "x array<struct<name:string,value:string>>, y array<struct<name:string,value:string>>, z array<struct<name:string,value:string>>")
     h = df.select(*[copies.multiset_hash(F.col(c), 1) for c in "xyz"], copies.same_multiset("x", "y"), copies.same_multiset("x", "z")).first()

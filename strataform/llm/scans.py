@@ -7,6 +7,8 @@ then joined into paragraphs; a word broken at a line end is joined if the corpus
 not know the hyphenated one. A token is misread if the corpus does not know it but knows a word, or it makes a
 number, with characters that scans confuse with its own.
 
+Words are counted and the sample is drawn over distinct texts.
+
 Cases: null and blank texts have no noise; a text of one line has neither headers nor page numbers; repeated
 deliveries of an item count once; very long texts are labelled whole; an empty corpus knows no words and gives
 page numbers and headers only; empty tables give none.
@@ -59,7 +61,7 @@ class Words:
             m[0], m[1] = max(m[0], one), max(m[1], every)
         self.known = set()
         scanned_only = not any(m[0] for m in most.values())
-        often = max(5.0, 1e-5 * sum(one for _, one, _ in counts))  # labels such as S1; rarer ones are misread numbers
+        often = 1e-3 * sum(one for _, one, _ in counts)  # common labels; rarer ones are misread numbers
         for w, one, every in counts:
             m = most[components(w)]
             if _NUMBER_LIKE.fullmatch(w) and one < often:
@@ -363,7 +365,8 @@ def repair(text: str, words: Words, model: LineModel) -> tuple[str, set[str]]:
 
 def word_counts(texts: DataFrame, text: str, rate: float = 1e-6) -> list[tuple[str, int, int]]:
     """(word, count in texts without line breaks, count in all) of words that make up at least `rate` of all word
-    occurrences: at most 1/rate entries, whatever the size of the corpus. Counts cover all texts."""
+    occurrences: at most 1/rate entries, whatever the size of the corpus. Counts cover all texts given; pass distinct
+    ones, so that a text that is copied often does not make its slips known words."""
     edge = F.lit(_EDGE)
     one = (~F.contains(text, F.lit("\n"))).cast("int").alias("one")
     w = texts.where(F.col(text).isNotNull()).select(one, F.explode(F.split(F.translate(text, "\r\n\t", "   "), " ")).alias("w"))
@@ -374,8 +377,9 @@ def word_counts(texts: DataFrame, text: str, rate: float = 1e-6) -> list[tuple[s
 
 
 def fit(texts: DataFrame, text: str, sample: int = 3000) -> tuple[Words, LineModel]:
-    """Known words (all texts) and line model (a bounded sample of `sample` texts without line breaks, the
-    smallest by hash)."""
+    """Known words (all distinct texts) and line model (a bounded sample of `sample` distinct texts without line
+    breaks, the smallest by hash)."""
+    texts = cut(texts.where(F.col(text).isNotNull()).select(text).distinct())
     words = Words(word_counts(texts, text))
     clean = texts.where(~F.col(text).rlike(r"[\r\n]") & (F.length(text) > 60)).select(text)
     rows = clean.orderBy(F.xxhash64(text), text).limit(sample).collect()

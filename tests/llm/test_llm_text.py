@@ -145,6 +145,22 @@ def test_scans(spark):
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_slip_stay_misread(spark):
+    hot = [(5000 + i, f"The {w} column was washed twice.") for w in ("c0lumn", "1O") for i in range(300)]
+    rows = [(1000 + i, c) for i, c in enumerate(CLEAN)] + [(i if "0" in t else i + 1000, t) for i, t in hot]
+    df = spark.createDataFrame(rows, "item_id long, source_section string")
+    got = {(r.item_id, r.noise) for r in scans.found(df).collect()}
+    assert got == {(i, "misread") for i, _ in rows if i >= 5000}
+    hot_clean = spark.createDataFrame([(i, CLEAN[0]) for i in range(500)] + list(enumerate(CLEAN)), "item_id long, source_section string")
+    seen = []
+    real, scans.train_lines = scans.train_lines, lambda texts, words: seen.extend(texts) or real(texts, words)
+    try:
+        scans.fit(hot_clean, "source_section", sample=100)
+    finally:
+        scans.train_lines = real
+    assert len(seen) == len(set(seen)) == 100
+
+
 def test_line_model_on_held_out_lines():
     words = scans.Words([(w, 50, 50) for w in {w.strip(".,") for c in CLEAN for w in c.split()}])
     model = scans.train_lines(CLEAN[:150], words, seed=3)

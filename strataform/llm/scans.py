@@ -3,7 +3,7 @@
 Lines are labelled header, page number or body by a linear-chain conditional model over layout features
 (decoded by Viterbi). It is trained on texts of the corpus that hold no line break, which are wrapped at random
 widths and given headers and page numbers of many styles: a bounded sample of `sample` texts. Body lines are
-then joined into paragraphs; a word broken at a line end is joined if the corpus knows the whole word, or does
+then joined into paragraphs, which blank lines part unless they lie inside a sentence; a word broken at a line end is joined if the corpus knows the whole word, or does
 not know the hyphenated one. A token is misread if the corpus does not know it but knows a word, or it makes a
 number, with characters that scans confuse with its own.
 
@@ -332,21 +332,42 @@ def train_lines(texts: list[str], words: Words, seed: int = 3) -> LineModel:
 # ---- repair -----------------------------------------------------------------------------------------------------
 
 
+def _new_paragraph(end: str, x: str, gap: int) -> bool:
+    """Whether a blank line before x ends a paragraph: not inside a sentence, as at the end of a page."""
+    if x[:1].islower() or end[-1] in _HYPHENS + ",;":
+        return False
+    return gap == 1 or end.rstrip(")]\"'”’").endswith((".", "!", "?", ":"))
+
+
 def repair(text: str, words: Words, model: LineModel) -> tuple[str, set[str]]:
     """(paragraph text, kinds of noise found)."""
     noise: set[str] = set()
     if "\n" not in text and "\r" not in text:
         return text.strip(), {"misread"} if words.any_misread(text.split()) else noise
-    lines = _BREAK.split(text)
+    lines, after = _BREAK.split(text), []  # after: a blank line lies before (1), and a header or page number too (2)
     if len(lines) > 1:
-        filled = [x for x in lines if x.strip()]
+        filled, blank, gap = [], [], False
+        for x in lines:
+            if x.strip():
+                filled.append(x)
+                blank.append(gap)
+            gap = not x.strip()
         labels = model.decode(line_features(filled, words)) if filled else []
         noise |= {("", "header", "page_no")[y] for y in labels if y}
-        lines = [x for x, y in zip(filled, labels, strict=True) if y == BODY]
+        lines, gap, between = [], False, False
+        for x, y, g in zip(filled, labels, blank, strict=True):
+            gap, between = gap or g, between or y != BODY
+            if y == BODY:
+                lines.append(x)
+                after.append(0 if not gap else 2 if between else 1)
+                gap = between = False
     out = ""
-    for x in lines:
+    for x, gap in zip(lines, after or [0] * len(lines), strict=True):
         x = x.strip()
         end = out.rstrip()
+        if gap and end and _new_paragraph(end, x, gap):
+            out = f"{end}\n\n{x}"
+            continue
         broken = len(end) > 1 and end[-1] in _HYPHENS and end[-2].isalpha()
         if not broken or not x:
             out = f"{out} {x}" if out and x else out or x

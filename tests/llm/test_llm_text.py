@@ -177,6 +177,18 @@ def test_line_model_on_held_out_lines():
     assert right / total > 0.85
 
 
+def test_blank_lines_part_paragraphs():
+    words = scans.Words([(w, 50, 50) for w in {w.strip(".,") for c in CLEAN for w in c.split()}])
+    model = scans.train_lines(CLEAN[:150], words, seed=3)
+    one, two = CLEAN[3], CLEAN[4]
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 10]) for i in range(0, len(t.split()), 10))
+    fix = lambda t: scans.repair(t, words, model)[0]
+    assert fix(f"{wrap(one)}\n\n{wrap(two)}\n") == f"{one}\n\n{two}"
+    assert fix(f"{wrap(one)}\r\n \r\n- 12 -\r\n\r\n{wrap(two)}") == f"{one}\n\n{two}"
+    inside = wrap(one).replace("\n", "\n\n", 1)
+    assert fix(inside) == one and fix(inside.replace("\n\n", "\n\n- 12 -\n\n")) == one and fix(wrap(one)) == one
+
+
 # ---- leakage ----------------------------------------------------------------------------------------------------
 
 

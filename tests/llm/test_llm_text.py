@@ -208,13 +208,47 @@ def test_leakage(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     b = spark.createDataFrame(list(items.items()) + [(77, "too short an item"), (78, None)], "item_id long, text string")
-    for block in (2000, 3):
-        got = {(x.doc_id, x.item_id) for x in leakage.scan(d, b, "doc_id", "text", "item_id", "text", block=block).collect()}
+    for bits in (27, 4):
+        got = {(x.doc_id, x.item_id) for x in leakage.scan(d, b, "doc_id", "text", "item_id", "text", bits=bits).collect()}
         assert got == {(1, 1), (2, 2), (3, 3), (4, 1), (6, 1), (10, 4), (11, 5), (11, 6), (12, 5), (13, 5)}
     assert leakage.scan(d, b.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert leakage.scan(d.limit(0), b, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_versions_of_an_item_are_all_reported(spark):
+    """Items of equal text, and an excerpt of another item, are no less leaked for being there twice."""
+    w = [f"{a}{b}" for a in ("bar", "cel", "dom", "fig", "gam", "hol") for b in ("ton", "mark", "wick", "sen", "dal", "vor", "lum")]
+    whole = " ".join(w)
+    items = [(1, whole), (2, whole.upper()), (3, " ".join(w[:20])), (4, None), (5, "")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {whole} it ends"), (2, " ".join(w[:30])), (3, " ".join(w[:9])), (1, "nothing")], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leakage.scan(docs, b, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)}
+
+
+def test_alignment_by_rows_equals_cell_by_cell():
+    r = random.Random(2)
+    for _ in range(200):
+        m, n = r.randint(1, 12), r.randint(1, 25)
+        eq = np.array([[r.random() < 0.3 for _ in range(n)] for _ in range(m)])
+        free = np.array([r.random() < 0.9 for _ in range(m)])
+        h = [[0] * (n + 1) for _ in range(m + 1)]
+        for i in range(m):
+            for j in range(n):
+                if free[i]:
+                    h[i + 1][j + 1] = max(0, h[i][j] + (1 if eq[i, j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+        score, a, b, matched = leakage.best_piece(eq, free)
+        assert score == max(map(max, h)) and 0 <= a <= b <= m and matched >= score
+
+
+def test_long_windows_lose_nothing():
+    item = [f"word{chr(97 + i)}{chr(110 + i % 9)}x" for i in range(20)]
+    doc = ["filler"] * 5000
+    doc[4321:4341] = item
+    assert leakage.held(item, doc, list(range(0, 5000, 10)), 0.5, 8) == (1.0, 1)
+    assert leakage.held(item, [], [0], 0.5, 8) == (0.0, 0)
+
+
 # ---- language ---------------------------------------------------------------------------------------------------
 
 SAY = {

@@ -61,9 +61,9 @@ def test_repeated_names(spark, monkeypatch):
 
 
 def test_hash_is_commutative_and_checked(spark):
-    df = spark.createDataFrame([([("a", "1"), ("b", "2")], [("b", "2"), ("a", "1")], [("a", "1"), ("a", "1"), ("b", "2")])], "x array<struct<name:string,value:string>>, y array<struct<name:string,value:string>>, z array<struct<name:string,value:string>>")
-    h = df.select(*[copies.multiset_hash(F.col(c), 1) for c in "xyz"], copies.same_multiset("x", "y"), copies.same_multiset("x", "z")).first()
-    assert h[0] == h[1] != h[2] and h[3] and not h[4]
+    df = spark.createDataFrame([(["a1", "b2"], ["b2", "a1"], ["a1", "a1", "b2"], ["a1", "b2", "b2"], ["b2", "a1", "b2"])], "x array<string>, y array<string>, z array<string>, v array<string>, w array<string>")
+    h = df.select(*[copies.multiset_hash(F.col(c), 1) for c in "xyz"], copies.same_multiset("x", "y"), copies.same_multiset("x", "z"), copies.same_multiset("z", "v"), copies.same_multiset("v", "w")).first()
+    assert h[0] == h[1] != h[2] and h[3] and not h[4] and not h[5] and h[6]
 
 
 def test_hot_group(spark):

@@ -44,6 +44,20 @@ def fold_pairs() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+@cache
+def wide_pairs() -> dict[str, str]:
+    """Characters that stand for several ordinary ones (ligatures, unit signs, fractions, Roman numerals, letters and
+    numbers in brackets or with a point): their compatibility form, where that is written in ASCII, the degree sign
+    and Greek letters."""
+    out: dict[str, str] = {}
+    for block in (range(0xBC, 0xBF), range(0x132, 0x14A), range(0x1C4, 0x1F4), range(0x2024, 0x2027), range(0x2033, 0x2058), range(0x2100, 0x2190), range(0x2460, 0x24EA), range(0x3250, 0x3260), range(0x32CC, 0x32D0), range(0x3371, 0x3400), range(0xFB00, 0xFB07)):
+        for cp in block:
+            n = unicodedata.normalize("NFKC", chr(cp)).translate({0x2044: "/", 0x2215: "/", 0x2032: "'"})
+            if len(n) > 1 and all(x.isascii() or x in "°µμΩωπ" for x in n):
+                out[chr(cp)] = n
+    return out
+
+
 def fold(c: Column) -> Column:
     """Invisible characters removed, look-alikes and odd spaces replaced. Null stays null."""
     a, b = fold_pairs()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.functions.lookalikes import GREEK_ALONE, INVISIBLE, fold_pairs
+from strataform.functions.lookalikes import GREEK_ALONE, INVISIBLE, fold_pairs, wide_pairs
 from strataform.session import ship
 
 #: What may stay: ASCII, super- and subscript digits, four signs, accented letters in one character
@@ -22,11 +22,15 @@ from strataform.session import ship
 ORDINARY = "\\x{9}\\x{A}\\x{D}\\x{20}-\\x{7E}²³¹⁰⁴-⁹₀-₉–·×°µßÀ-ÖØ-öø-ÿĀ-İĲ-ķĹ-ŉŌ-žΑ-Ωα-ω"
 
 
-def _sql(value: str) -> tuple[str, str]:
+def sql_form(value: str) -> tuple[str, str]:
     """SQL expressions (one form, looks different underneath) for a text expression."""
     a, b = fold_pairs()
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    gone = f"regexp_replace(nfc_normalize({value}), {q('[' + INVISIBLE + ']')}, '', 'g')"
+    wide = value
+    for x, y in wide_pairs().items():
+        wide = f"replace({wide}, {q(x)}, {q(y)})"
+    wide = f"CASE WHEN regexp_matches({value}, {q('[' + ''.join(wide_pairs()) + ']')}) THEN {wide} ELSE {value} END"
+    gone = f"regexp_replace(nfc_normalize({wide}), {q('[' + INVISIBLE + ']')}, '', 'g')"
     one = f"translate({gone}, {q(a)}, {q(b)})"
     for g, latin in zip(*GREEK_ALONE, strict=True):  # Greek letters inside a word are look-alikes
         one = f"regexp_replace({one}, {q(f'([A-Za-z]){g}')}, {q(chr(92) + '1' + latin)}, 'g')"
@@ -40,7 +44,7 @@ def unify(df: DataFrame, column: str, keep: list[str], flagged_only: bool = Fals
     """keep columns plus form STRING (the text in one consistent form) and odd BOOLEAN (the text holds
     invisible characters, odd spaces, other-width or styled forms, separate accents or look-alikes).
     flagged_only drops the rows that are not odd inside the partition. No shuffle."""
-    one, odd = _sql("v")
+    one, odd = sql_form("v")
     src = df.select(*keep, F.col(column).alias("__v"))
     names = list(keep)
     query = f"SELECT i, {one} AS form, coalesce({odd}, false) AS odd FROM t" + (f" WHERE coalesce({odd}, false)" if flagged_only else "")
@@ -56,7 +60,7 @@ def unify(df: DataFrame, column: str, keep: list[str], flagged_only: bool = Fals
                 v = b.column(len(names))
                 t = pa.table({"i": pa.array(range(b.num_rows), pa.int64()), "v": v})  # noqa: F841
                 con.register("t", t)
-                r = con.execute(query).to_arrow_table()
+                r = con.sql(query).to_arrow_table()
                 con.unregister("t")
                 cols = [b.column(k).take(r["i"].combine_chunks()) for k in range(len(names))]
                 out = pa.table([*cols, r["form"].cast(pa.string()), r["odd"]], names=[*names, "form", "odd"])
@@ -101,7 +105,7 @@ def unify_local(text: str | None) -> str | None:
     if text is None:
         return None
     a, b = fold_pairs()
-    s = unicodedata.normalize("NFC", text)
+    s = unicodedata.normalize("NFC", "".join(wide_pairs().get(c, c) for c in text))
     s = "".join(c for c in s if c not in INVISIBLE).translate(str.maketrans(a, b))
     for g, latin in zip(*GREEK_ALONE, strict=True):
         s = re.sub(f"([A-Za-z]){g}", rf"\1{latin}", s)

@@ -96,8 +96,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_segments": p10_segments}
 _ORDINARY = "[^\\x09\\x0A\\x0D\\x20-\\x7E²³¹⁰⁴-⁹₀-₉–·×°µßÀ-ÖØ-öø-ÿĀ-İĲ-ķĹ-ŉŌ-žαβγ]"
+_FORM_COLUMNS = (("acids_and_solvents", "concentration"), ("target_materials", "isotope"), ("target_materials", "chemical_formula"))
 _ODD = " UNION ".join(
     f"SELECT item_id, '{c}' AS field FROM {t} WHERE regexp_matches({c}, '{_ORDINARY}') OR nfc_normalize({c}) <> {c}"
-    for t, c in (("acids_and_solvents", "concentration"), ("target_materials", "isotope"), ("target_materials", "chemical_formula"))
+    for t, c in _FORM_COLUMNS
 )
-ORACLE: dict[str, str] = {"p3_found": _ODD}
+_FORM = " UNION ".join(f"SELECT item_id, '{c}' AS field, {one} AS form, coalesce({odd}, false) AS odd FROM {t}" for t, c in _FORM_COLUMNS for one, odd in [lookalike.sql_form(c)])
+ORACLE: dict[str, str] = {"p3_found": _ODD, "p3_forms": _FORM}

@@ -1,5 +1,6 @@
 import json
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,23 @@ def test_lookalikes(spark):
     assert lookalike.found([(df.limit(0), "v", "v")]).count() == 0
 
 
+def test_characters_that_stand_for_several(spark):
+    want = {"5 ㎖": "5 ml", "20 ℃": "20 °C", "½ M": "1/2 M", "ﬁltered": "filtered", "Ⅻ": "XII", "⑴": "(1)", "3 ㎟": "3 mm2", "8 ㎛": "8 μm", "ﬃ": "ffi", "㏖": "mol", "Ⅳ": "IV", "ŉ": "ʼn", "１２": "12"}
+    df = spark.createDataFrame(list(enumerate(want)), "item_id long, v string")
+    got = {r.item_id: (r.form, r.odd) for r in lookalike.unify(df, "v", ["item_id"]).collect()}
+    for i, (v, form) in enumerate(want.items()):
+        if v != "ŉ":
+            assert got[i] == (form, True), v
+        assert got[i][0] == lookalike.unify_local(v)
+    # every compatibility form of these blocks that is written in ordinary characters comes out so, and is reported
+    blocks = [chr(c) for a, b in ((0x2100, 0x2150), (0x3371, 0x3400), (0xFB00, 0xFB07)) for c in range(a, b)]
+    df = spark.createDataFrame(list(enumerate(blocks)), "item_id long, v string")
+    for r in lookalike.unify(df, "v", ["item_id"]).collect():
+        n = unicodedata.normalize("NFKC", blocks[r.item_id])
+        if n.isascii() and n != blocks[r.item_id]:
+            assert (r.form, r.odd) == (n, True)
+
+
 def test_forms_of_all_three_fields(spark, tmp_path):
     spark.createDataFrame([(1, "6\u200b M"), (2, "6 M"), (2, "6 M")], "item_id long, concentration string").write.parquet(str(tmp_path / "acids_and_solvents.parquet"))
     spark.createDataFrame([(1, "⁶⁴Ni", "Ni\u200b"), (3, None, "NiO")], "item_id long, isotope string, chemical_formula string").write.parquet(str(tmp_path / "target_materials.parquet"))

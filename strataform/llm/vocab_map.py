@@ -1,49 +1,42 @@
 """Map freely typed values to the entries of a reference list; values without an entry are reported as 0.
 
-SQL only. Values are made distinct, cleaned of strengths, grades and remarks, and joined by equality. What is
-left goes through a partition-based pigeonhole join: a reference string of length L that allows k edits is cut
-into k+1 segments; any string within k edits holds one of them unchanged, near its place, so an equality join
-on positional substrings finds every candidate, and levenshtein verifies it. Values that stay unmatched are
-found by an anti-join. Known other names compete with the reference list, so that a different substance with a
-name much like a listed one is not taken for a slip of it.
+SQL only. Values are made distinct, cleaned of strengths, grades and remarks, and joined by equality (words of kinds
+whose entries are words by their stem, too). What is left goes through a partition-based pigeonhole join: a
+reference string of length L that allows k edits is cut into k+1 segments; any string within k edits holds one of
+them unchanged, near its place, so an equality join on positional substrings finds every candidate, and levenshtein
+verifies it. Values that stay unmatched are found by an anti-join.
+
+What is another name, though much like a listed one, and what a slip, is told from all values: one particular slip
+is rare, so a string that comes up in at least a tenth (two slips and more: a hundredth) as many values as the entry
+it is near, and five times at the least, is a name of its own. So are strings that are near no entry and come up
+five times. These names compete with the entries for the slips, through the same pigeonhole join. Lists of other
+names may be given, too; none is built in.
+
+Chemical formulas with digits are only met by equality, as each letter and digit of them counts; in all strings
+numbers must be equal.
 
 Cases: null and blank values, and values that are exactly a term, give no row; placeholders and unlisted values
 give 0; ties between terms go to the smallest edit distance, then the smallest term_id; repeated deliveries of an
-item give one row; very long values are compared whole (and match nothing); empty tables give none.
+item give one row; very long values and very long terms are compared like others (more and longer segments); empty
+tables give none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataform.functions.lookalikes import INVISIBLE, fold_pairs
 from strataform.functions.sqlrun import run_sql
-from strataform.operators.skew import hot_split_lookup
 from strataform.session import cut
 
-# Other names that compete with the reference list, so as not to be taken for slips of its terms.
-OTHER_NAMES = {
-    "substance": (
-        "hydrofluoric acid, selenic acid, selenous acid, butyric acid, glycolic acid, sulfamic acid, sulfurous acid, nitrous acid, chloric acid, hypochlorous acid, chlorous acid, "
-        "iodic acid, bromic acid, propionic acid, valeric acid, benzoic acid, salicylic acid, succinic acid, maleic acid, fumaric acid, malic acid, gluconic acid, glutaric acid, adipic acid, "
-        "picric acid, chromic acid, molybdic acid, tungstic acid, arsenic acid, silicic acid, carbonic acid, telluric acid, nitrilotriacetic acid, dichloroacetic acid, phosphorous acid, "
-        "rubidium hydroxide, cesium hydroxide, barium hydroxide, calcium hydroxide, magnesium hydroxide, potassium carbonate, lithium carbonate, calcium carbonate, potassium bicarbonate, "
-        "sodium sulfide, sodium sulfite, sodium sulfate, sodium phosphate, sodium iodide, sodium bromide, sodium fluoride, sodium oxalate, sodium citrate, sodium formate, sodium thiosulfate, "
-        "potassium iodate, potassium iodide, potassium chloride, potassium nitrate, potassium nitrite, potassium acetate, potassium bromate, lithium chloride, magnesium chloride, barium chloride, "
-        "ammonium oxalate, ammonium sulfate, ammonium sulfide, ammonium fluoride, ammonium bromide, ammonium iodide, ammonium lactate, ammonium tartrate, ammonium phosphate, ammonium bicarbonate, "
-        "calcium nitrate, calcium fluoride, zinc chloride, zinc bromide, zinc nitrate, copper sulfate, iron chloride, aluminium chloride, silver nitrate, lead acetate, "
-        "1-octanol, 2-octanol, 1-hexanol, 1-pentanol, 2-butanol, tert-butanol, isobutanol, cyclohexanol, glycerol, ethylene glycol, acetaldehyde, formaldehyde, butanone, cyclohexanone, "
-        "n-heptane, n-octane, n-pentane, n-decane, isooctane, cyclopentane, benzene, ethylbenzene, chlorobenzene, nitrobenzene, nitromethane, propylene carbonate, ethylene carbonate, carbon disulfide, "
-        "carbon tetrachloride, dichloroethane, trichloroethylene, dioxane, dimethoxyethane, dibutyl ether, methyl acetate, butyl acetate, propionitrile, benzonitrile, dimethylacetamide, formamide, "
-        "thiourea, urea, hydroquinone, quinoline, piperidine, morpholine, aniline, diethylamine, ethylenediamine, trioctylamine, trioctylphosphine oxide, ionic liquid, crown ether, crown ether mixture"
-    ),
-    "role": (
-        "storage, dilution, tracer dilution, precipitation, co-precipitation, scintillation, cooling, heating, ph check, quench, filtration, evaporation, counting, loading, extraction, drying, "
-        "irradiation, calibration, titration, not given, not stated, see text, unknown, none"
-    ),
-    "type": "oxidant, reductant, salt, chelator, gas, buffer, carrier, resin, unknown, ligand, tracer, sorbent, complexant, catalyst, metal, mixture, none",
-}
+#: Kinds whose entries are words: inflected forms and single words of a value count.
+WORDS = ("role", "type")
+# Symbols of the chemical elements.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu "
+    "Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+)
+_FORMULA = rf"^(?=.*[0-9])(?:(?:{'|'.join(sorted(ELEMENTS.split(), key=lambda e: -len(e)))})[0-9]*|[(){{}}\[\]·.])+$"
 
 _R = "r'{}'".format
 _NUM = r"[0-9]+(?:[.,][0-9]+)?"
@@ -67,31 +60,29 @@ def _key(v: str) -> str:
     return f"regexp_replace({v}, {_R(r'[^\p{L}\p{N}]+')}, '')"
 
 
-_FORMS = f"""array_distinct(filter(array(t, concat(t,'s'), concat(t,'es'), concat(t,'ed'), concat(t,'ing'),
-  concat(regexp_replace(t,'e$',''),'ic'), concat(t,'ic'), concat(regexp_replace(t,'e$',''),'ed'), concat(regexp_replace(t,'e$',''),'ing'),
-  regexp_replace(t,'ing$',''), concat(regexp_replace(t,'ing$',''),'ed'), concat(regexp_replace(t,'ing$',''),'s'), regexp_replace(t,{_R('([bp])([bp])ing$')},'$1'),
-  regexp_replace(t,'ion$',''), concat(regexp_replace(t,'ion$',''),'e'), concat(regexp_replace(t,'ion$',''),'ed'), concat(regexp_replace(t,'ion$',''),'ing'), concat(regexp_replace(t,'ion$',''),'es'),
-  regexp_replace(t,'olution$','olve'), regexp_replace(t,'olution$','olved'), regexp_replace(t,'olution$','olving'), regexp_replace(t,'olution$','olves'), regexp_replace(t,'ption$','b')), x -> length(x) > 2))"""
+def _stem(t: str) -> str:
+    """A word without its endings of number, tense and derivation (English), of which three letters stay."""
+    for ending in ("s", "ing|ed|er|e|ic", "ation|ion|e", "e"):
+        t = f"regexp_replace({t}, {_R(f'^(.{{3,}}?)(?:{ending})$')}, '$1')"
+    t = f"regexp_replace(regexp_replace({t}, {_R('lut$')}, 'lv'), {_R('rpt$')}, 'rb')"  # solution, solve; absorption, absorb
+    return f"regexp_replace({t}, {_R('([bdgmnprt])[bdgmnprt]$')}, '$1')"
+
+
+_IS_WORD = "kind IN ({})".format(", ".join(map("'{}'".format, WORDS)))
 
 
 def references(spark: SparkSession, vocab: DataFrame, other: dict[str, str] | None = None) -> DataFrame:
-    """kind, term_id (0: another name), ref (as text), k (letters and digits only). Inflected forms for roles and
-    types, whose entries are words rather than names."""
-    other = OTHER_NAMES if other is None else other
-    known = run_sql(
-        spark,
-        f"""SELECT kind, term_id, {_lower('t')} AS ref FROM (SELECT kind, term_id, explode(array_union(array(term), coalesce(aliases, array()))) AS t FROM @vocab) WHERE t IS NOT NULL""",
-        vocab=vocab,
-    )
-    rows = [(k, 0, n.strip()) for k, names in other.items() for n in names.split(",")]
-    others = spark.createDataFrame(rows, "kind string, term_id int, ref string")
+    """kind, term_id (0: another name, if a list of such is given), ref (as text), k (letters and digits only), formula
+    (whether it is a chemical formula with digits)."""
+    rows = [(k, 0, n.strip()) for k, names in (other or {}).items() for n in names.split(",")]
+    others = spark.createDataFrame(rows, "kind string, term_id int, t string")
     return run_sql(
         spark,
-        f"""WITH r AS (SELECT kind, term_id, explode(CASE WHEN kind = 'substance' OR term_id = 0 THEN array(ref) ELSE transform(array(ref), t -> {_FORMS})[0] END) AS ref
-              FROM (SELECT * FROM @known UNION ALL SELECT * FROM @others)),
-            k AS (SELECT kind, term_id, ref, {_key('ref')} AS k FROM r)
-            SELECT kind, k, min(ref) AS ref, coalesce(min(nullif(term_id, 0)), 0) AS term_id FROM k WHERE k <> '' GROUP BY kind, k""",
-        known=known,
+        f"""WITH t AS (SELECT kind, term_id, explode(array_union(array(term), coalesce(aliases, array()))) AS t FROM @vocab UNION ALL SELECT kind, term_id, t FROM @others),
+            r AS (SELECT kind, term_id, {_lower('t')} AS ref, translate(t, '₀₁₂₃₄₅₆₇₈₉', '0123456789') RLIKE {_R(_FORMULA)} AS formula FROM t WHERE t IS NOT NULL),
+            k AS (SELECT *, {_key('ref')} AS k FROM r)
+            SELECT kind, k, min(ref) AS ref, coalesce(min(nullif(term_id, 0)), 0) AS term_id, bool_or(formula) AS formula FROM k WHERE k <> '' GROUP BY kind, k""",
+        vocab=vocab,
         others=others,
     )
 
@@ -109,7 +100,7 @@ def variants(spark: SparkSession, values: DataFrame) -> DataFrame:
             w AS (SELECT kind, val, inline(concat(
                   array(struct(c0 AS w, 0 AS level), struct({lead('c0')} AS w, 1 AS level), struct({once(lead('c0'))} AS w, 1 AS level), struct(s1 AS w, 1 AS level), struct(o1 AS w, 1 AS level), struct(i1 AS w, 1 AS level)),
                   transform(filter(array(s1, o1), x -> x RLIKE {_R(r'^[^,]+, .+$')}), x -> struct(regexp_replace(x, {_R(r'^([^,]+), (.+)$')}, '$2 $1') AS w, 1 AS level)),
-                  CASE WHEN kind IN ('role', 'type') THEN transform(filter(split(c0, {_R(r'[^\p{L}\p{N}.]+')}), x -> length(x) > 2), x -> struct(x AS w, 2 AS level)) ELSE array() END)) FROM s)
+                  CASE WHEN {_IS_WORD} THEN transform(filter(split(c0, {_R(r'[^\p{L}\p{N}.]+')}), x -> length(x) > 2), x -> struct(x AS w, 2 AS level)) ELSE array() END)) FROM s)
             SELECT kind, val, k, min(w) AS w, min(level) AS level FROM (SELECT kind, val, w, level, {_key('w')} AS k FROM w) WHERE k <> '' GROUP BY kind, val, k""",
         values=values,
     )
@@ -124,82 +115,134 @@ def _best(spark: SparkSession, hits: DataFrame) -> DataFrame:
     )
 
 
-def _distance(a: str, b: str) -> str:
-    """Edit distance in which one swap of neighbours may count once: levenshtein, or one more than that of the
-    best string with two neighbours swapped."""
-    swap = f"concat(substr({a}, 1, i - 1), substr({a}, i + 1, 1), substr({a}, i, 1), substr({a}, i + 2))"
-    return f"least(levenshtein({a}, {b}), 1 + array_min(transform(sequence(1, greatest(length({a}) - 1, 1)), i -> levenshtein({swap}, {b}))))"
-
-
 #: Slips allowed by length of the reference: up to 3 letters none, then 1, from 7 letters 2, from 12 letters 3.
 _SLIPS = "CASE WHEN L <= 3 THEN 0 WHEN L <= 6 THEN 1 WHEN L <= 11 THEN 2 ELSE 3 END"
-#: Edits that so many slips can make: a swap of neighbours makes two.
-_EDITS = "CASE WHEN L <= 3 THEN 0 WHEN L <= 6 THEN 2 ELSE 4 END"
 
 
-def match(spark: SparkSession, values: DataFrame, refs: DataFrame) -> DataFrame:
-    """kind, val, term_id of the distinct values (kind, val); 0 where no entry is meant."""
-    v = cut(variants(spark, values))
-    exact = run_sql(spark, "SELECT v.kind, v.val, v.level, 0 AS d, r.term_id FROM @v v JOIN @r r ON v.kind = r.kind AND v.k = r.k", v=v, r=refs)
-    done = cut(_best(spark, exact.where("level < 2")))
-    open1 = run_sql(spark, "SELECT v.* FROM @v v LEFT ANTI JOIN @d d ON v.kind = d.kind AND v.val = d.val", v=v, d=done)
-    words = exact.where("level = 2").join(done, ["kind", "val"], "left_anti")
-    # abbreviations: one word cut short by a point; the other word (if any) joins by equality
-    short = run_sql(
+def near(spark: SparkSession, keys: DataFrame, refs: DataFrame) -> DataFrame:
+    """kind, k, rk, term_id, d: keys (kind, k) and references (kind, k, term_id, formula) within the slips allowed. One
+    swap of neighbours may count as one slip, so that the edits are one more than the slips.
+
+    References of one length are cut alike; a key is cut at the places of every length of references that it may be
+    near. The lengths go by broadcast: strings of S characters in all have at most sqrt(2 S) different lengths."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, at = "(L div (E + 1) + CAST(i >= E + 1 - L % (E + 1) AS INT))", "(1 + i * (L div (E + 1)) + greatest(0, i - (E + 1 - L % (E + 1))))"
+    segs = cut(run_sql(
         spark,
-        f"""WITH a AS (SELECT kind, val, level, regexp_extract(w, {_R(r'^([^ .]{3,})\.(?: ([^ .]+))?(?: of .*| step)?$')}, 1) AS p, regexp_extract(w, {_R(r'^([^ .]{3,})\. ([^ .]+)$')}, 2) AS rest, 1 AS first FROM @v
-                        UNION ALL SELECT kind, val, level, regexp_extract(val_l, {_R(r'^[^ .]+ ([^ .]{2,})\.$')}, 1), regexp_extract(val_l, {_R(r'^([^ .]+) [^ .]{2,}\.$')}, 1), 2 FROM (SELECT *, {_lower('val')} AS val_l FROM @v WHERE level = 0)
-                        UNION ALL SELECT kind, val, 1, regexp_extract(val_l, {_R(r'^([^ .]{3,})\.')}, 1), '', 1 FROM (SELECT *, {_lower('val')} AS val_l FROM @v WHERE level = 0 AND kind IN ('role', 'type'))),
-            r AS (SELECT kind, term_id, k, split(ref, ' ') AS x FROM @r),
-            w AS (SELECT kind, term_id, k, x[0] AS long, coalesce(get(x, 1), '') AS rest, 1 AS first FROM r WHERE size(x) <= 2
-                  UNION ALL SELECT kind, term_id, k, x[1], x[0], 2 FROM r WHERE size(x) = 2)
-            SELECT a.kind, a.val, a.level, 0 AS d, coalesce(min(nullif(w.term_id, 0)), 0) AS term_id FROM a JOIN w ON a.kind = w.kind AND a.first = w.first AND a.rest = w.rest
-            WHERE a.p <> '' AND startswith(w.long, a.p) GROUP BY a.kind, a.val, a.level HAVING count(DISTINCT nullif(w.term_id, 0)) <= 1""",
-        v=open1,
+        f"""WITH l AS (SELECT kind, term_id, k, length(k) AS L FROM @r WHERE NOT formula), e AS (SELECT *, {_SLIPS} + 1 AS E FROM l WHERE L > 3), s AS (SELECT *, explode(sequence(0, E)) AS i FROM e)
+            SELECT kind, term_id, k AS rk, L, E, i, substr(k, {at}, {size}) AS seg FROM s""",
         r=refs,
-    )
-    # pigeonhole join over positional substrings
-    segs = run_sql(
+    ))
+    pairs = run_sql(
         spark,
-        f"""WITH l AS (SELECT *, length(k) AS L FROM @r), e AS (SELECT *, {_EDITS} AS E, {_SLIPS} AS slips FROM l WHERE L > 3),
-            s AS (SELECT *, explode(sequence(0, E)) AS i FROM e)
-            SELECT kind, term_id, k AS rk, L, slips, i, substr(k, 1 + i * (L div (E + 1)) + greatest(0, i - (E + 1 - L % (E + 1))), L div (E + 1) + CAST(i >= E + 1 - L % (E + 1) AS INT)) AS seg FROM s""",
-        r=refs,
+        f"""WITH n AS (SELECT /*+ REPARTITION({tasks}) */ kind, k, length(k) AS n FROM @k WHERE length(k) > 2), a AS (SELECT *, explode(sequence(greatest(4, n - 4), n + 4)) AS L FROM n),
+            x AS (SELECT DISTINCT kind, L, E FROM @s), l AS (SELECT /*+ BROADCAST(x) */ a.*, x.E FROM a JOIN x ON a.kind = x.kind AND a.L = x.L WHERE abs(n - a.L) <= x.E),
+            s AS (SELECT *, explode(sequence(0, E)) AS i FROM l),
+            o AS (SELECT *, {size} AS len, {at} AS p, greatest(-i, n - L - (E - i)) AS lo, least(i, n - L + (E - i)) AS hi FROM s),
+            b AS (SELECT DISTINCT kind, k, L, i, substr(k, p + o, len) AS seg FROM (SELECT *, explode(sequence(lo, hi)) AS o FROM o WHERE lo <= hi) WHERE p + o >= 1 AND p + o + len - 1 <= n)
+            SELECT DISTINCT b.kind, b.k, s.rk, s.term_id, s.E FROM b JOIN @s s ON b.kind = s.kind AND b.L = s.L AND b.i = s.i AND b.seg = s.seg
+            WHERE regexp_replace(b.k, '[^0-9]', '') = regexp_replace(s.rk, '[^0-9]', '')""",
+        k=keys,
+        s=segs,
     )
-    probes = run_sql(
+    swap = "concat(substr(k, 1, i - 1), substr(k, i + 1, 1), substr(k, i, 1), substr(k, i + 2))"
+    swapped = f"least(lev, 1 + array_min(transform(sequence(1, greatest(length(k) - 1, 1)), i -> levenshtein({swap}, rk))))"
+    return run_sql(
         spark,
-        f"""WITH n AS (SELECT kind, val, level, k, length(k) AS n FROM @v WHERE length(k) BETWEEN 3 AND 64),
-            l AS (SELECT *, {_EDITS} AS E FROM (SELECT *, explode(sequence(greatest(4, n - 4), n + 4)) AS L FROM n)),
-            s AS (SELECT *, explode(sequence(0, E)) AS i FROM l WHERE abs(n - L) <= E),
-            o AS (SELECT *, L div (E + 1) + CAST(i >= E + 1 - L % (E + 1) AS INT) AS len, 1 + i * (L div (E + 1)) + greatest(0, i - (E + 1 - L % (E + 1))) AS p,
-                    greatest(-i, n - L - (E - i)) AS lo, least(i, n - L + (E - i)) AS hi FROM s)
-            SELECT DISTINCT kind, val, level, k, L, i, substr(k, p + o, len) AS seg FROM (SELECT *, explode(sequence(lo, hi)) AS o FROM o WHERE lo <= hi) WHERE p + o >= 1 AND p + o + len - 1 <= n""",
-        v=open1,
+        f"""WITH e AS (SELECT *, inline(array(struct(levenshtein(k, rk, E) AS lev))) FROM @p), d AS (SELECT *, inline(array(struct(CASE WHEN lev <= 1 THEN lev ELSE {swapped} END AS d))) FROM e WHERE lev >= 0)
+            SELECT kind, k, rk, term_id, d FROM d WHERE d < E""",
+        p=pairs,
     )
-    pairs = run_sql(spark, "SELECT DISTINCT p.kind, p.val, p.level, p.k, s.rk, s.term_id, s.slips FROM @p p JOIN @s s ON p.kind = s.kind AND p.L = s.L AND p.i = s.i AND p.seg = s.seg", p=probes, s=segs)
-    fuzzy = run_sql(
+
+
+def match(spark: SparkSession, values: DataFrame, refs: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
+    """kind, val, term_id of the distinct values (kind, val, n: how often); 0 where no entry is meant. A string that
+    comes up `least` times, and `share` as often as the entry it is one slip from (share * share: more slips), is a
+    name of its own."""
+    v = cut(variants(spark, values))
+    stems = run_sql(spark, f"SELECT kind, stem, min(term_id) AS term_id FROM (SELECT kind, term_id, {_stem('k')} AS stem FROM @r WHERE {_IS_WORD} AND term_id > 0) GROUP BY kind, stem HAVING count(DISTINCT term_id) = 1", r=refs)
+    exact = cut(run_sql(
         spark,
-        f"""SELECT kind, val, level, d, term_id FROM (SELECT kind, val, level, term_id, slips, inline(array(struct({_distance('k', 'rk')} AS d))) FROM @p
-              WHERE regexp_replace(k, '[^0-9]', '') = regexp_replace(rk, '[^0-9]', '') AND NOT (rk RLIKE '[0-9]' AND length(rk) < 9)) WHERE d <= slips""",
-        p=pairs,
+        f"""SELECT v.kind, v.val, v.k, v.level, 0 AS d, r.term_id FROM @v v JOIN @r r ON v.kind = r.kind AND v.k = r.k
+            UNION ALL SELECT v.kind, v.val, v.k, v.level, 0 AS d, s.term_id FROM (SELECT *, {_stem('k')} AS stem FROM @v WHERE {_IS_WORD}) v JOIN @s s ON v.kind = s.kind AND v.stem = s.stem""",
+        v=v,
+        r=refs,
+        s=stems,
+    ))
+    done = cut(_best(spark, run_sql(spark, "SELECT * FROM @e WHERE level < 2", e=exact)))
+    rest = cut(run_sql(spark, "SELECT v.*, c.n FROM @v v JOIN @c c ON v.kind = c.kind AND v.val = c.val LEFT ANTI JOIN @d d ON v.kind = d.kind AND v.val = d.val", v=v, c=values, d=done))
+    words = run_sql(spark, "SELECT e.kind, e.val, e.level, e.d, e.term_id FROM @e e LEFT ANTI JOIN @d d ON e.kind = d.kind AND e.val = d.val WHERE e.level = 2", e=exact, d=done)
+    short = abbreviations(spark, rest, refs)
+    # entries, and forms of them that came up, meet what is left
+    known = run_sql(spark, "SELECT kind, k, max(term_id) AS term_id, bool_or(formula) AS formula FROM (SELECT kind, k, term_id, formula FROM @r UNION ALL SELECT kind, k, term_id, false FROM @e) GROUP BY kind, k", r=refs, e=exact)
+    keys = cut(run_sql(spark, "SELECT kind, k, sum(n) AS n, min(level) < 2 AS whole FROM @v GROUP BY kind, k", v=rest))
+    hits = cut(run_sql(
+        spark,
+        """WITH t AS (SELECT d.kind, d.term_id, sum(c.n) AS t FROM @d d JOIN @c c ON d.kind = c.kind AND d.val = c.val GROUP BY d.kind, d.term_id),
+           b AS (SELECT kind, k, min(struct(d, term_id)) AS b FROM @h GROUP BY kind, k), o AS (SELECT b.kind, b.k, k.n >= {least} AND k.n >= pow({share}, least(b.b.d, 2)) * coalesce(t.t, 0) AS own
+             FROM b JOIN @k k ON b.kind = k.kind AND b.k = k.k LEFT JOIN t ON b.kind = t.kind AND b.b.term_id = t.term_id)
+           SELECT h.kind, h.k, h.d, h.term_id, o.own FROM @h h JOIN o ON h.kind = o.kind AND h.k = o.k""".format(least=least, share=share),
+        h=near(spark, keys, known),
+        k=keys,
+        d=done,
+        c=values,
+    ))
+    slips = cut(run_sql(spark, "SELECT v.kind, v.val, v.k, v.level, h.d, h.term_id FROM @v v JOIN @h h ON v.kind = h.kind AND v.k = h.k WHERE NOT h.own", v=rest, h=hits))
+    first = cut(run_sql(spark, "SELECT DISTINCT kind, val FROM (SELECT kind, val FROM @a UNION ALL SELECT kind, val FROM @b UNION ALL SELECT kind, val FROM @c)", a=short, b=words, c=slips))
+    # names of their own compete for the slips
+    names = run_sql(
+        spark,
+        f"""WITH u AS (SELECT DISTINCT v.kind, v.k FROM @v v LEFT ANTI JOIN @f f ON v.kind = f.kind AND v.val = f.val WHERE v.level < 2)
+            SELECT k.kind, k.k, 0 AS term_id, false AS formula FROM @k k JOIN u ON k.kind = u.kind AND k.k = u.k WHERE k.n >= {least} AND k.whole""",
+        v=rest,
+        f=first,
+        k=keys,
     )
-    later = _best(spark, short.unionByName(words).unionByName(fuzzy))
-    found = done.unionByName(later)
+    doubtful = run_sql(spark, "SELECT DISTINCT kind, k FROM @s WHERE level < 2 UNION SELECT v.kind, v.k FROM @v v LEFT SEMI JOIN @s s ON v.kind = s.kind AND v.val = s.val WHERE v.level < 2", s=slips, v=rest)
+    rivals = run_sql(spark, "SELECT v.kind, v.val, v.level, h.d, h.term_id FROM @v v JOIN @h h ON v.kind = h.kind AND v.k = h.k LEFT SEMI JOIN @s s ON v.kind = s.kind AND v.val = s.val", v=rest, h=near(spark, doubtful, names), s=slips)
+    later = _best(spark, run_sql(spark, "SELECT kind, val, level, d, term_id FROM @a UNION ALL SELECT * FROM @b UNION ALL SELECT kind, val, level, d, term_id FROM @c UNION ALL SELECT * FROM @d", a=short, b=words, c=slips, d=rivals))
+    found = cut(run_sql(spark, "SELECT * FROM @d UNION ALL SELECT * FROM @l", d=done, l=later))
+    return run_sql(
+        spark, "SELECT kind, val, term_id FROM @f UNION ALL SELECT v.kind, v.val, 0 FROM @v v LEFT ANTI JOIN @f f ON v.kind = f.kind AND v.val = f.val", v=values, f=found
+    )
+
+
+def abbreviations(spark: SparkSession, values: DataFrame, refs: DataFrame) -> DataFrame:
+    """kind, val, level, d, term_id: one word of an entry of one or two words cut short by a point. The beginnings of the
+    entries' words are segments that the short word must equal; so must the other word."""
     return run_sql(
         spark,
-        "SELECT kind, val, term_id FROM @f UNION ALL SELECT v.kind, v.val, 0 FROM @v v LEFT ANTI JOIN @f f ON v.kind = f.kind AND v.val = f.val", v=values, f=cut(found)
+        f"""WITH l AS (SELECT *, {_lower('val')} AS low FROM @v WHERE level = 0),
+            a AS (SELECT kind, val, level, regexp_extract(w, {_R(r'^([^ .]{3,})\.(?: ([^ .]+))?(?: of .*| step)?$')}, 1) AS p, regexp_extract(w, {_R(r'^([^ .]{3,})\. ([^ .]+)$')}, 2) AS rest, 1 AS first FROM @v
+                        UNION ALL SELECT kind, val, level, regexp_extract(low, {_R(r'^[^ .]+ ([^ .]{2,})\.$')}, 1), regexp_extract(low, {_R(r'^([^ .]+) [^ .]{2,}\.$')}, 1), 2 FROM l
+                        UNION ALL SELECT kind, val, 1, regexp_extract(low, {_R(r'^([^ .]{3,})\.')}, 1), '', 1 FROM l WHERE {_IS_WORD}),
+            r AS (SELECT kind, term_id, k, split(ref, ' ') AS x FROM @r),
+            w AS (SELECT kind, term_id, k, x[0] AS long, coalesce(get(x, 1), '') AS rest, 1 AS first FROM r WHERE size(x) <= 2
+                  UNION ALL SELECT kind, term_id, k, x[1], x[0], 2 FROM r WHERE size(x) = 2),
+            b AS (SELECT kind, term_id, rest, first, substr(long, 1, n) AS p FROM (SELECT *, explode(sequence(2, length(long))) AS n FROM w WHERE length(long) > 1))
+            SELECT a.kind, a.val, a.level, 0 AS d, coalesce(min(nullif(b.term_id, 0)), 0) AS term_id FROM a JOIN b ON a.kind = b.kind AND a.first = b.first AND a.rest = b.rest AND a.p = b.p
+            GROUP BY a.kind, a.val, a.level HAVING count(DISTINCT nullif(b.term_id, 0)) <= 1""",
+        v=values,
+        r=refs,
     )
 
 
 def found(spark: SparkSession, columns: list[tuple[DataFrame, str, str, str]], vocab: DataFrame, other: dict[str, str] | None = None) -> DataFrame:
-    """(item_id, field, term_id) of every free value. columns: (df with item_id, column, field, kind)."""
-    vocab = vocab.select("term_id", "kind", "term", "aliases")
-    occ = None
-    for df, c, field, kind in columns:
-        part = df.select("item_id", F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col(c).alias("val")).where(F.col("val").rlike(r"[^\s\p{Z}]"))
-        occ = part if occ is None else occ.unionByName(part)
-    terms = vocab.select("kind", F.col("term").alias("val"))
-    free = occ.join(terms, ["kind", "val"], "left_anti")  # the reference list is the small, given side
-    counts = cut(free.groupBy("kind", "val").agg(F.count(F.lit(1)).alias("n")))
-    mapped = cut(match(spark, counts, cut(references(spark, vocab, other))).join(counts, ["kind", "val"]))
-    return hot_split_lookup(free, mapped, ["kind", "val"], "n").select("item_id", "field", "term_id").distinct()
+    """(item_id, field, term_id) of every free value. columns: (df with item_id, column, field, kind). Values that make
+    up a thousandth of all go by broadcast (at most a thousand), the others by shuffle."""
+    vocab = run_sql(spark, "SELECT term_id, kind, term, aliases FROM @v", v=vocab)
+    parts = {f"t{chr(97 + i)}": df for i, (df, _, _, _) in enumerate(columns)}
+    text = " UNION ALL ".join(f"SELECT CAST(item_id AS BIGINT) AS item_id, {_q(field)} AS field, {_q(kind)} AS kind, `{c}` AS val FROM @t{chr(97 + i)} WHERE `{c}` RLIKE {_R(r'[^\s\p{Z}]')}" for i, (_, c, field, kind) in enumerate(columns))
+    every = run_sql(spark, text, **parts)
+    free = run_sql(spark, "SELECT o.* FROM @o o LEFT ANTI JOIN @vocab v ON o.kind = v.kind AND o.val = v.term", vocab=vocab, o=every)
+    counts = cut(run_sql(spark, "SELECT kind, val, count(*) AS n FROM @e GROUP BY kind, val", e=every))
+    mapped = cut(run_sql(spark, "SELECT m.kind, m.val, m.term_id, c.n FROM @m m JOIN @c c ON m.kind = c.kind AND m.val = c.val", m=match(spark, counts, cut(references(spark, vocab, other))), c=counts))
+    return run_sql(
+        spark,
+        """WITH hot AS (SELECT kind, val, term_id FROM @m WHERE n >= (SELECT sum(n) / 1000 FROM @m)), cold AS (SELECT kind, val, term_id FROM @m WHERE n < (SELECT sum(n) / 1000 FROM @m))
+           SELECT DISTINCT item_id, field, term_id FROM (
+             SELECT /*+ BROADCAST(hot) */ f.item_id, f.field, hot.term_id FROM @f f JOIN hot ON f.kind = hot.kind AND f.val = hot.val
+             UNION ALL SELECT g.item_id, g.field, cold.term_id FROM (SELECT /*+ BROADCAST(hot) */ f.* FROM @f f LEFT ANTI JOIN hot ON f.kind = hot.kind AND f.val = hot.val) g JOIN cold ON g.kind = cold.kind AND g.val = cold.val)""",
+        m=mapped,
+        f=free,
+    )

@@ -28,6 +28,11 @@ def test_vocabulary(spark):
         for v, t in values.items():
             rows.append((len(rows), *[v if f == field else None for f in ("name", "role", "type")]))
             want[len(rows) - 1, field] = t
+    # names of their own come up again and again
+    for field, v in [*(("name", x) for x in ("sulfamic acid", "n-heptane", "hydrofluoric acid", "Sulfamic Acid")), ("role", "tracer dilution")]:
+        for _ in range(6):
+            rows.append((len(rows), *[v if f == field else None for f in ("name", "role", "type")]))
+            want[len(rows) - 1, field] = 0
     rows += [(500, "hydrochloric acid", " ", None), (501, "", "wash", "acid"), (0, *rows[0][1:])]
     df = spark.createDataFrame(rows, "item_id long, name string, role string, type string").withColumn("k", F.lit(1))
     cols = [(df, "name", "name", "substance"), (df, "role", "role", "role"), (df, "type", "type", "type")]
@@ -37,6 +42,40 @@ def test_vocabulary(spark):
     assert vocab_map.found(spark, [(e, "name", "name", "substance")], vocab).count() == 0
 
 
+def test_long_terms_codes_and_formulas(spark):
+    """No length is too long, codes with digits are met with slips, formulas only as they are."""
+    long = "bis " + " ".join(["diethylhexyl"] * 6) + " phosphoric acid"
+    vocab = spark.createDataFrame([(1, "substance", long, None), (2, "substance", "phosphate extractant", ["D2EHPA"]), (3, "substance", "sodium nitrate", ["NaNO3"])], "term_id int, kind string, term string, aliases array<string>")
+    typed = {long[:40] + long[41:]: 1, long.upper(): 1, long[:-12]: 0, "d2ehpaa": 2, "D2EHPA": 2, "d3ehpa": 0, "KNO3": 0, "nano3": 3, "NaNO2": 0}
+    df = spark.createDataFrame(list(enumerate(typed)), "item_id long, name string")
+    got = {x.item_id: x.term_id for x in vocab_map.found(spark, [(df, "name", "name", "substance")], vocab).collect()}
+    assert got == dict(enumerate(typed.values()))
+
+
+def test_unseen_vocabulary(spark):
+    """Slips, word order and other names over a list of made-up terms, told apart by how often they come up."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") for _ in range(r.randint(3, 5)))
+    terms = [f"{word()} {word()}" for _ in range(300)]
+    others = [f"{t[:-3]}{r.choice('xyz')}{t[-3:-1]}{r.choice('qz')}o" for t in terms[:60]]  # another name, much like a listed one
+    vocab = spark.createDataFrame([(i + 1, "substance", t, None) for i, t in enumerate(terms)], "term_id int, kind string, term string, aliases array<string>")
+
+    def slip(t: str) -> str:
+        i = r.randrange(1, len(t) - 1)
+        return r.choice([t[:i] + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + t[i] + t[i:], t[:i] + r.choice("aeiourst") + t[i + 1 :]])
+
+    rows = []
+    for i, t in enumerate(terms):
+        rows += [(t.title(), i + 1)] * 20 + [(slip(slip(t)), i + 1) for _ in range(3)] + [(", ".join(reversed(t.split())), i + 1), (f"6 M {t}", i + 1)]
+    for t in others:
+        rows += [(t, 0)] * 15 + [(slip(t), 0) for _ in range(2)]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "item_id long, name string")
+    got = {x.item_id: x.term_id for x in vocab_map.found(spark, [(df, "name", "name", "substance")], vocab).collect()}
+    judged = [(got[i], t) for i, (v, t) in enumerate(rows) if i in got]
+    right = sum(a == b for a, b in judged if b)
+    assert right / sum(b > 0 for _, b in judged) > 0.95 and right / sum(a > 0 for a, _ in judged) > 0.95
+
+
 def test_pigeonhole_finds_all_within_its_edits(spark):
     """Every string within the edits allowed, by brute force, is found by the segment join."""
     r = random.Random(8)

@@ -1,10 +1,15 @@
 """Language of each document and of each segment in another language, with a confidence.
 
 A byte convolutional network: byte embeddings, filters of several widths, max pooling and softmax, trained in
-numpy on sentences of labelled documents (a bounded sample), applied in batches to fixed-length windows of every
-sentence. A sentence's language is that of its windows together; neighbouring sentences of a language form a
-segment. Labels are noisy, so the network is trained twice: the second time without the sentences whose label
-the first one confidently contradicts.
+numpy on sentences of labelled documents (a bounded sample), applied in batches to fixed-length windows that lie end
+to end over every sentence. A sentence's language is that of its windows together; neighbouring sentences of a
+language form a segment. Labels are noisy, so the network is trained twice: the second time without the sentences
+whose label the first one confidently contradicts. Confidences are calibrated: one temperature, fitted on sentences
+held out from training.
+
+Scale: one scan of the label column counts the labels, one scan of the texts draws the sample (windows of sentences
+from anywhere in a text, drawn in the executors), one narrow scan reads all texts. Nothing else is shuffled but the
+rows found.
 
 Cases: null, empty, blank texts and texts without a whole sentence have no segment; headings, single terms and
 stray symbols belong to no segment; repeated documents are each reported; very long texts are read whole; ties
@@ -33,10 +38,11 @@ LABELS = {
     "fr": ["fr", "fra", "fre", "french", "französisch", "français", "francais", "francés", "francês"],
     "pt": ["pt", "por", "ptg", "portuguese", "portugiesisch", "português", "portugues", "portugais", "portugués"],
 }
-WINDOW, STRIDE = 64, 48
+WINDOW, TAIL = 64, 16  # bytes of a window; a rest of fewer than TAIL bytes is left to the window before
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+(?=[^a-zà-ÿ\s.,;:)])")
 _ENDED = re.compile(r"(?s).*[.!?…][\"'»”)\]]*(?=\s|$|\d{8})")
-_ASIDE = re.compile(r"\([^()]{0,80}\)|[“„«\"][^“”„«»\"]{0,60}[”“»\"]")
+#: What stands in brackets or quotes within a sentence and is none itself: a term, however long.
+_ASIDE = re.compile(r"\([^().!?]*\)|[“„«\"][^“”„«»\".!?]*[”“»\"]")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -83,57 +89,50 @@ def windows(s: str) -> np.ndarray:
     """Rows of WINDOW bytes (0 pads) that cover the sentence, in lower case, without asides in brackets or quotes
     (single foreign terms); digits become one byte, as they say nothing."""
     b = np.frombuffer(re.sub(r"\d+", "0", _ASIDE.sub("", s).replace("\n", " ").lower()).encode("utf-8", "replace"), dtype=np.uint8)
-    starts = range(0, max(1, len(b) - WINDOW + STRIDE), STRIDE)
-    out = np.zeros((len(starts), WINDOW), dtype=np.uint8)
-    for k, a in enumerate(starts):
-        part = b[a : a + WINDOW]
-        out[k, : len(part)] = part
-    return out
+    n = max(1, (len(b) + WINDOW - TAIL) // WINDOW)
+    out = np.zeros(n * WINDOW, dtype=np.uint8)
+    out[: len(b)] = b[: len(out)]
+    return out.reshape(n, WINDOW)
 
 
 class ByteNet:
-    """Byte embedding, convolutions of several widths, max over positions, softmax."""
+    """Byte embedding, filters of several widths (one matrix of the greatest width, whose narrower filters end in
+    zeros), max over positions, softmax. scale: inverse temperature of a sentence's confidence."""
 
     WIDTHS = (2, 3, 4, 5)
 
-    def __init__(self, embed: int = 12, filters: int = 32, classes: int = len(LANGS), seed: int = 7):
+    def __init__(self, embed: int = 8, filters: int = 24, classes: int = len(LANGS), seed: int = 7):
         r = np.random.default_rng(seed)
-        self.p = {"E": r.normal(0, 0.3, (256, embed)).astype(np.float32)}
-        for k in self.WIDTHS:
-            self.p[f"W{k}"] = r.normal(0, (k * embed) ** -0.5, (k * embed, filters)).astype(np.float32)
-            self.p[f"b{k}"] = np.zeros(filters, np.float32)
-        self.p["O"] = r.normal(0, 0.1, (filters * len(self.WIDTHS), classes)).astype(np.float32)
-        self.p["o"] = np.zeros(classes, np.float32)
-
-    def _columns(self, x: np.ndarray, k: int) -> np.ndarray:
-        n, length, e = x.shape
+        wide = max(self.WIDTHS) * embed
+        self.mask = np.concatenate([np.repeat((np.arange(wide) < k * embed)[:, None], filters, 1) for k in self.WIDTHS], 1).astype(np.float32)
+        w = np.concatenate([r.normal(0, (k * embed) ** -0.5, (wide, filters)) for k in self.WIDTHS], 1)
+        n = filters * len(self.WIDTHS)
+        self.p = {"E": r.normal(0, 0.3, (256, embed)), "W": w * self.mask, "b": np.zeros(n), "O": r.normal(0, 0.1, (n, classes)), "o": np.zeros(classes)}
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.scale = 1.0
+
+    def _columns(self, b: np.ndarray) -> np.ndarray:
+        """Rows of the bytes' embeddings at and after each position, as wide as the widest filter."""
+        wide = max(self.WIDTHS)
+        x = self.p["E"][np.pad(b, ((0, 0), (0, wide - 1)))]
+        n, _, e = x.shape
         s = x.strides
-        return np.lib.stride_tricks.as_strided(x, (n, length - k + 1, k * e), (s[0], s[1], s[2]), writeable=False)
+        return np.lib.stride_tricks.as_strided(x, (n, b.shape[1], wide * e), (s[0], s[1], s[2]), writeable=False).reshape(-1, wide * e)
 
     def forward(self, b: np.ndarray, keep: bool = False) -> tuple:
-        x = np.ascontiguousarray(self.p["E"][b])
-        pooled, where = [], []
-        for k in self.WIDTHS:
-            c = self._columns(x, k)
-            h = c @ self.p[f"W{k}"]
-            if keep:
-                at = h.argmax(1)
-                where.append(at)
-                top = np.take_along_axis(h, at[:, None, :], 1)[:, 0]
-            else:
-                top = h.max(1)
-            pooled.append(np.maximum(top + self.p[f"b{k}"], 0))
-        f = np.concatenate(pooled, 1)
+        cols = self._columns(b)
+        h = (cols @ self.p["W"]).reshape(len(b), b.shape[1], -1)
+        f = np.maximum(h.max(1) + self.p["b"], 0)
         z = f @ self.p["O"] + self.p["o"]
         z -= z.max(1, keepdims=True)
         logp = z - np.log(np.exp(z).sum(1, keepdims=True))
-        return (logp, f, where, x) if keep else (logp,)
+        return (logp, f, h.argmax(1), cols) if keep else (logp,)
 
     def gradients(self, b: np.ndarray, y: np.ndarray, rng: np.random.Generator, drop: float = 0.3, smooth: float = 0.1) -> dict[str, np.ndarray]:
         """Cross entropy with smoothed labels, a share of the pooled features dropped: labels are noisy and samples
         small, and the network must not be sure of text unlike any it has seen."""
-        _, f, where, x = self.forward(b, True)
-        n = len(b)
+        _, f, where, cols = self.forward(b, True)
+        n, length = b.shape
         kept = ((rng.random(f.shape) >= drop) / (1 - drop)).astype(np.float32)
         f = f * kept
         z = f @ self.p["O"] + self.p["o"]
@@ -144,19 +143,14 @@ class ByteNet:
         d /= n
         g = {"O": f.T @ d, "o": d.sum(0)}
         df = (d @ self.p["O"].T) * (f > 0) * kept
-        e, m = x.shape[2], self.p["W2"].shape[1]
-        rows = np.arange(n)[:, None]
-        idx, val = [], []
-        for i, k in enumerate(self.WIDTHS):
-            dk = df[:, i * m : (i + 1) * m]
-            g[f"b{k}"] = dk.sum(0)
-            cols = self._columns(x, k)[rows, where[i]]  # n, m, k*e: only the positions that won
-            g[f"W{k}"] = np.einsum("nmc,nm->cm", cols, dk)
-            back = dk[:, :, None] * self.p[f"W{k}"].T[None]
-            for j in range(k):
-                idx.append(b[rows, where[i] + j].ravel())
-                val.append(back[:, :, j * e : (j + 1) * e].reshape(-1, e))
-        at, v = np.concatenate(idx), np.concatenate(val)
+        won = cols.reshape(n, length, -1)[np.arange(n)[:, None], where]  # n, filters, columns: only the positions that won
+        g["b"] = df.sum(0)
+        g["W"] = np.einsum("nmc,nm->cm", won, df) * self.mask
+        back = df[:, :, None] * self.p["W"].T[None]
+        wide, e = max(self.WIDTHS), self.p["E"].shape[1]
+        padded = np.pad(b, ((0, 0), (0, wide - 1)))
+        at = np.stack([padded[np.arange(n)[:, None], where + j] for j in range(wide)], 2).ravel()
+        v = back.reshape(n, -1, wide, e).reshape(-1, e)
         g["E"] = np.stack([np.bincount(at, v[:, c], 256) for c in range(e)], 1).astype(np.float32)
         return g
 
@@ -176,46 +170,89 @@ class ByteNet:
                     self.p[k] -= (rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def log_probabilities(self, b: np.ndarray, batch: int = 512) -> np.ndarray:
+    def log_probabilities(self, b: np.ndarray, batch: int = 256) -> np.ndarray:
         return np.concatenate([self.forward(b[i : i + batch])[0] for i in range(0, len(b), batch)]) if len(b) else np.zeros((0, len(LANGS)))
 
 
-def train(rows: list[tuple[str, str]], per_language: int = 2500, epochs: int = 5, per_text: int = 12) -> ByteNet | None:
-    """Fit on (language, text) rows. At most per_language windows a language, one of each sentence drawn; a text gives
-    at most per_text sentences, so that a long one with a wrong label does not stand for its language."""
+def calibrate(total: np.ndarray, y: np.ndarray) -> float:
+    """The scale of summed log probabilities under which held-out labels are likeliest. A share of the labels, fitted
+    along with it, is taken to be wrong, that is any of the languages."""
+    at = np.arange(len(y))
+
+    def loss(scale: float, wrong: float) -> float:
+        p = np.exp(scale * (total - total.max(1, keepdims=True)))
+        return float(-np.log((1 - wrong) * p[at, y] / p.sum(1) + wrong / total.shape[1]).mean())
+
+    return min(((0.1 * 1.15**k, w) for k in range(33) for w in (0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3)), key=lambda x: loss(*x))[0]
+
+
+def sample_sentences(text: str, rng: np.random.Generator, per_text: int) -> list[np.ndarray]:
+    """The windows of at most per_text sentences from anywhere in a text, so that a long one with a wrong label does not
+    stand for its language."""
+    found = sentences(text)
+    if len(found) > per_text:
+        found = [found[i] for i in rng.choice(len(found), per_text, replace=False)]
+    return [windows(text[a:b]) for a, b in found]
+
+
+def train(rows: list[tuple[str, list[np.ndarray]]], per_language: int = 2500, epochs: int = 5) -> ByteNet | None:
+    """Fit on (language, windows of sentences) rows. At most per_language windows a language, one of each sentence
+    drawn; one sentence in ten is held out for the calibration."""
     r = np.random.default_rng(11)
-    xs, ys = [], []
+    xs, ys, held = [], [], []
     for y, lang in enumerate(LANGS):
-        own = []
-        for t in (t for g, t in rows if g == lang):
-            found = sentences(t)
-            own += [t[a:b] for a, b in (found if len(found) <= per_text else [found[i] for i in r.choice(len(found), per_text, replace=False)])]
+        own = [w for g, ws in rows if g == lang for w in ws]
         r.shuffle(own)
         if not own:
             continue
+        cut_at = len(own) // 10
+        held += [(w, y) for w in own[:cut_at]]
+        own = own[cut_at:]
         own = (own * (per_language // len(own) + 1))[:per_language]
-        for s in own:
-            w = windows(s)
-            xs.append(w[r.integers(len(w))])
-            ys.append(y)
+        xs += [w[r.integers(len(w))] for w in own]
+        ys += [y] * len(own)
     if not xs:
         return None
     b, y = np.stack(xs), np.array(ys)
     net = ByteNet().fit(b, y, max(1, epochs // 2))
     lp = net.log_probabilities(b)
     sound = ~((lp.argmax(1) != y) & (lp.max(1) > np.log(0.8)))
-    return ByteNet().fit(b[sound], y[sound], epochs)
+    net = ByteNet().fit(b[sound], y[sound], epochs)
+    if held:
+        net.scale = calibrate(np.stack([net.log_probabilities(w).sum(0) for w, _ in held]), np.array([y for _, y in held]))
+    return net
+
+
+def training_rows(docs: DataFrame, text: str, lang: str, documents: int = 600, per_text: int = 12) -> list[tuple[str, list[np.ndarray]]]:
+    """(language, windows of sentences) of at most `documents` distinct labelled texts of each language, the smallest by
+    hash: a bounded sample for fitting only. Labels are counted first, so that only texts below a bound on the hash,
+    some more than are wanted, leave the executors."""
+    src = docs.select(label(F.col(lang)).alias("g"), F.col(text).alias("t"))
+    counts = {r["g"]: r["count"] for r in src.where("g IS NOT NULL").groupBy("g").count().collect()}  # one row a language
+    if not counts:
+        return []
+    bound = F.lit(None).cast("bigint")
+    for g, n in counts.items():
+        share = min(1.0, 1.5 * (documents + 30) / n)
+        bound = F.when(F.col("g") == g, F.lit(min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))).otherwise(bound)
+    drawn = src.select("g", "t", F.xxhash64("t").alias("h")).where((F.col("h") <= bound) & F.col("t").rlike(r"[.!?]"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strataform.llm.langid import sample_sentences
 
-def training_rows(docs: DataFrame, text: str, lang: str, documents: int = 600) -> list[tuple[str, str]]:
-    """(language, text) of at most `documents` labelled documents of each language, the smallest by hash; of a very
-    long one its first 20,000 characters. A bounded sample for fitting only."""
-    src = docs.select(label(F.col(lang)).alias("g"), F.substring(text, 1, 20000).alias("t")).where(F.col("g").isNotNull() & F.col("t").rlike(r"[.!?]"))
-    parts = [src.where(F.col("g") == g).orderBy(F.xxhash64("t"), "t").limit(documents) for g in LANGS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return [(r["g"], r["t"]) for r in out.collect()]
+        for b in batches:
+            out = []
+            for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out.append([w.tobytes() for w in sample_sentences(t, np.random.default_rng(abs(h)), per_text)])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(out, pa.list_(pa.binary()))], names=["g", "h", "w"])
+
+    ship(docs.sparkSession)
+    rows = drawn.dropDuplicates(["g", "h"]).mapInArrow(run, "g string, h bigint, w array<binary>").collect()
+    out = []
+    for g in sorted(counts):
+        own = sorted((r["h"], r["w"]) for r in rows if r["g"] == g)[:documents]
+        out += [(g, [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in w]) for _, w in own]
+    return out
 
 
 def read_text(text: str, net: ByteNet) -> list[tuple[int, int, str, float]]:
@@ -237,7 +274,8 @@ def read_texts(texts: list[str | None], net: ByteNet) -> list[list[tuple[int, in
     lp = net.log_probabilities(np.concatenate(rows))
     total = np.zeros((len(spans), len(LANGS)))
     np.add.at(total, np.array(owner), lp)
-    p = np.exp(total - total.max(1, keepdims=True))  # the windows of a sentence speak together
+    total *= net.scale  # the windows of a sentence speak together
+    p = np.exp(total - total.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
     for i, (k, a, b) in enumerate(spans):
@@ -277,14 +315,33 @@ def segments(docs: DataFrame, key: str, text: str, net: ByteNet) -> DataFrame:
 
 def found(docs: DataFrame, key: str, text: str, lang: str, sure: float = 0.8) -> DataFrame:
     """(key, lang) of documents whose label is missing or not that of the text, or whose text is in more than one
-    language. The language of most of the text counts, and each other with a sentence of confidence `sure`."""
+    language. The language of most of the text counts, and each other with a sentence of confidence `sure`. Narrow but
+    for the last distinct."""
     net = train(training_rows(docs, text, lang))
     if net is None:
         return docs.sparkSession.createDataFrame([], f"{key} bigint, lang string")
-    s = segments(docs, key, text, net).groupBy(key, "lang").agg(F.max("best").alias("best"), F.sum("length").alias("n"))
-    per = s.groupBy(key).agg(F.collect_list(F.struct("n", "lang", "best")).alias("all"))  # at most as many as LANGS a document
-    most = F.array_max("all")["lang"]
-    langs = F.transform(F.filter("all", lambda x: (x["best"] >= sure) | (x["lang"] == most)), lambda x: x["lang"])
-    labels = docs.select(F.col(key).cast("bigint").alias(key), label(F.col(lang)).alias("said"))
-    wrong = (F.size("langs") > 1) | F.col("said").isNull() | (F.col("said") != F.col("langs")[0])
-    return per.select(key, langs.alias("langs")).join(labels, key).where(wrong).select(key, F.explode("langs").alias("lang")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strataform.llm.langid import read_texts
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                keys, texts, said = (b.column(i).slice(lo, 256).to_pylist() for i in range(3))
+                out = []
+                for k, s, read in zip(keys, said, read_texts(texts, shared.value), strict=True):
+                    size: dict[str, int] = {}
+                    best: dict[str, float] = {}
+                    for a, e, g, c in read:
+                        size[g] = size.get(g, 0) + e - a
+                        best[g] = max(best.get(g, 0.0), c)
+                    most = max(sorted(size), key=size.__getitem__, default=None)
+                    langs = [g for g in sorted(size) if g == most or best[g] >= sure]
+                    if langs and (len(langs) > 1 or s != most):
+                        out += [(k, g) for g in langs]
+                if out:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string()), strict=True)], names=["k", "lang"])
+
+    ship(docs.sparkSession)
+    src = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), label(F.col(lang)).alias("said")).where(F.col("t").isNotNull())
+    return src.mapInArrow(run, "k bigint, lang string").withColumnRenamed("k", key).distinct()

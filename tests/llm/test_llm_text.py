@@ -314,7 +314,7 @@ def test_language(spark):
 
 
 def test_held_out_sentences_and_segments(spark):
-    rows = [(g, SAY[g][k].format(i)) for g in SAY for k in range(3) for i in range(40)]
+    rows = [(g, [langid.windows(SAY[g][k].format(i))]) for g in SAY for k in range(3) for i in range(40)]
     net = langid.train(rows, per_language=400, epochs=4)
     held = [(g, s.format("1.5")) for g in SAY for s in SAY[g]]
     assert all(langid.read_text(s, net)[0][2] == g for g, s in held)
@@ -323,6 +323,24 @@ def test_held_out_sentences_and_segments(spark):
     assert [(x.segment_no, x.lang) for x in s] == [(0, "en"), (1, "de")] and all(x.confidence > 0.5 for x in s)
 
 
+def test_asides_and_samples():
+    long = "single foreign term " * 40
+    assert np.array_equal(langid.windows(f"Das Wasser ({long}) war kalt."), langid.windows("Das Wasser () war kalt.".replace("()", "")))
+    text = " ".join(SAY["en"][i % 3].format(i) for i in range(3000))  # sentences from anywhere in a very long text
+    found = langid.sample_sentences(text, np.random.default_rng(1), 12)
+    assert len(found) == 12 and all(w.shape[1] == langid.WINDOW for w in found)
+    assert langid.windows("x" * 200).shape == (3, 64) and langid.windows("x" * 70).shape == (1, 64) and langid.windows("").shape == (1, 64)
+
+
+def test_calibration():
+    r = np.random.default_rng(0)
+    y = r.integers(0, 5, 4000)
+    z = np.log(r.dirichlet(np.ones(5) * 0.5, 4000))
+    p = np.exp(z)
+    y = np.array([r.choice(5, p=x) for x in p])
+    assert 0.8 < langid.calibrate(z, y) < 1.6 and 0.2 < langid.calibrate(4 * z, y) < 0.5
+
+
 def test_sentences():
     t = "RESULTS\nThe yield was 3.5 % in the end. Then all was over now, see p. 4. short one. and\nmore without an end"
     assert [t[a:b].strip() for a, b in langid.sentences(t)][0] == "The yield was 3.5 % in the end."

@@ -1,17 +1,21 @@
 """Repair text from scanned pages: running headers, page numbers, words broken over lines, misread characters.
 
-Lines are labelled header, page number or body by a linear-chain conditional model over layout features
-(decoded by Viterbi). It is trained on texts of the corpus that hold no line break, which are wrapped at random
-widths and given headers and page numbers of many styles: a bounded sample of `sample` texts. Body lines are
-then joined into paragraphs, which blank lines part unless they lie inside a sentence; a word broken at a line end is joined if the corpus knows the whole word, or does
-not know the hyphenated one. A token is misread if the corpus does not know it but knows a word, or it makes a
-number, with characters that scans confuse with its own.
-
-Words are counted and the sample is drawn over distinct texts.
+Lines are labelled header, page number, body, or break (a body line that begins a paragraph) by a linear-chain
+conditional model over layout features, decoded by Viterbi. It is trained on texts of the corpus that hold no line
+break, put together as paragraphs, wrapped at random widths and given headers and page numbers of many styles: a
+bounded sample of `sample` texts. Body lines are then joined into paragraphs, which begin at breaks; a word broken
+at a line end is joined if the corpus knows the whole word, or does not know the hyphenated one. A token is misread
+if the corpus does not know it but knows a word, or it makes a number, with characters that scans confuse with its
+own; it is written as that word or number.
+
+Words are counted and the sample is drawn over distinct texts. Words that scans confuse with each other form a
+class; what the executors get are the classes that make up at least `rate` of all word occurrences (so at most 1/rate
+classes), and of each the words of at least a hundredth of its occurrences (so at most a hundred). In rarer classes
+no misreading is told.
 
 Cases: null and blank texts have no noise; a text of one line has neither headers nor page numbers; repeated
-deliveries of an item count once; very long texts are labelled whole; an empty corpus knows no words and gives
-page numbers and headers only; empty tables give none.
+deliveries of an item count once; very long texts and words are handled whole; an empty corpus knows no words and
+gives page numbers and headers only; empty tables give none.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.session import cut, ship
 
-BODY, HEADER, PAGE = 0, 1, 2
+BODY, HEADER, PAGE, BREAK = 0, 1, 2, 3
 _BREAK = re.compile(r"\r\n|\r|\n")
 _HYPHENS = "-­¬‐‑"
 _EDGE = ".,;:()[]\"'“”‘’!?"
@@ -39,6 +43,15 @@ _SAME = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "5": "s
 _TO_DIGIT = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "b": "6"})
 
 
+def components_column(c: Column) -> Column:
+    """components() as an expression."""
+    t = F.translate(F.lower(c), *("".join(chr(k) if x == 0 else v for k, v in _SAME.items() if len(v) == 1) for x in (0, 1)))
+    for k, v in _SAME.items():
+        if len(v) > 1:
+            t = F.replace(t, F.lit(chr(k)), F.lit(v))
+    return t
+
+
 @lru_cache(maxsize=200_000)
 def components(word: str) -> str:
     """What a scan sees of a word: confusable characters and groups become the same."""
@@ -48,28 +61,37 @@ def components(word: str) -> str:
 _NUMBER_LIKE = re.compile(r"(?=.*\d)(?=.*[A-Za-z])[0-9OolISBZ.,–-]+")
 
 
+#: Shares of a class's occurrences from which a word of it is known: in texts without line breaks, and in scans where
+#: there are no others.
+KNOWN, SCANNED = 0.01, 0.05
+
+
 class Words:
     """Words the corpus knows, and their components."""
 
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        """counts: (word, occurrences in texts without line breaks, in all). Of words that look alike, only those
-        that hold a fair share of the occurrences are known; the others are taken for misreadings of them. Texts
-        with line breaks only count where there are no others: their headers and slips are not the corpus's words."""
-        most: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    def __init__(self, counts: list[tuple[str, int, int]], total: int | None = None):
+        """counts: (word, occurrences in texts without line breaks, in all); total: those of all words without line
+        breaks. Of words that look alike, only those that hold a fair share of the occurrences are known; the others
+        are taken for misreadings of them. Texts with line breaks only count where there are no others: their headers
+        and slips are not the corpus's words."""
+        held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for w, one, every in counts:
-            m = most[components(w)]
-            m[0], m[1] = max(m[0], one), max(m[1], every)
+            m = held[components(w)]
+            m[0], m[1] = m[0] + one, m[1] + every
         self.known = set()
-        scanned_only = not any(m[0] for m in most.values())
-        often = 1e-3 * sum(one for _, one, _ in counts)  # common labels; rarer ones are misread numbers
+        scanned_only = not any(m[0] for m in held.values())
+        often = 1e-3 * (sum(one for _, one, _ in counts) if total is None else total)  # common labels; rarer ones are misread numbers
+        top: dict[str, tuple[int, str]] = {}
         for w, one, every in counts:
-            m = most[components(w)]
+            k = components(w)
+            m = held[k]
             if _NUMBER_LIKE.fullmatch(w) and one < often:
                 continue
-            if one >= 0.01 * m[0] > 0 or (scanned_only and every >= 0.05 * m[1]):
+            if one >= KNOWN * m[0] > 0 or (scanned_only and every >= SCANNED * m[1]):
                 self.known.add(w)
+                top[k] = max(top.get(k, (-1, "")), (one if one else every, w))
         self.lower = {w.lower() for w in self.known}
-        self.seen = {components(w) for w in self.known}
+        self.seen = {k: w for k, (_, w) in top.items()}
         self.memo: dict[str, int] = {}
         self.sorts: dict[str, tuple[str, bool, bool, bool]] = {}
 
@@ -108,6 +130,25 @@ class Words:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "sorts": {}}
 
+    def corrected(self, t: str, before: str) -> str:
+        """A token as it was meant: itself, unless it is misread."""
+        if self.memo.get(t) == 0:  # judged by any_misread
+            return t
+        w = t.strip(_EDGE)
+        if not self.misread(w, before.strip(_EDGE)):
+            return t
+        word = self.seen.get(components(w))
+        if re.fullmatch(r"[0-9OolISBZ.,–-]+", w) and re.search(r"\d", w):
+            word = w.translate(_TO_DIGIT)
+        elif word is None:
+            return t
+        elif w[0].isupper() and w[1:].upper() == w[1:] and any(map(str.isalpha, w[1:])):
+            word = word.upper()
+        elif w[0].isupper():
+            word = word[0].upper() + word[1:]
+        at = t.index(w)
+        return t[:at] + word + t[at + len(w) :]
+
     def misread(self, w: str, before: str = "") -> bool:
         if not w or w.isdigit() or self.knows(w):
             return False
@@ -130,11 +171,15 @@ _CITED = re.compile(r"\bet al\b|\bvol\b\.?|\bno\.", re.I)
 _SHORT = re.compile(r"\b[A-Z][a-z]{1,5}\.")
 
 
-def line_features(lines: list[str], words: Words) -> list[list[str]]:
-    """Layout features of each line, as names; of the words only whether they are known enters."""
+def line_features(lines: list[str], words: Words, gaps: list[bool] | None = None) -> list[list[str]]:
+    """Layout features of each line, as names; of the words only whether they are known enters. gaps: whether a blank
+    line lies before."""
     stripped = [x.strip() for x in lines]
     width = max(map(len, stripped), default=0) or 1
     n = len(stripped)
+    gaps = gaps or [False] * n
+    spaced = sum(gaps) > 0.6 * n  # a blank line between all lines says nothing
+    deep = [len(x) - len(y) > 1 and x[:1].isspace() for x, y in zip(lines, (x.lstrip() for x in lines), strict=True)]
     out = []
     for i, s in enumerate(stripped):
         letters = sum(map(str.isalpha, s))
@@ -182,6 +227,19 @@ def line_features(lines: list[str], words: Words) -> list[list[str]]:
         f.append("goes-on" if goes_on else "new-after")
         open_before = bool(before) and not before.endswith((".", "!", "?"))
         f.append("open-before" if open_before else "closed-before")
+        if i:
+            two = stripped[i - 2] if i > 1 else ""
+            low = s[:1].islower()
+            # paragraphs begin after a blank line, indented, or after a line cut short, and where a sentence ends
+            if gaps[i]:
+                f.append(f"gap-{spaced}-{low}-{open_before}")
+                f.append(f"gap-{spaced}-{low}-{open_before}-{not two.endswith(('.', '!', '?'))}")
+            elif gaps[i - 1]:
+                f.append(f"gap-above-{low}-{open_before}")
+            if deep[i] and not deep[i - 1]:
+                f.append(f"indented-{low}-{open_before}")
+            if not low and not open_before and len(before) < 0.8 * width:
+                f.append(f"after-short{int(5 * len(before) / width)}")
         if goes_on and before and share < 0.6 and not before.endswith("."):
             f.append("interrupts")
         if goes_on and open_before and not s.endswith((".", "!", "?", ",")):
@@ -195,30 +253,37 @@ class LineModel:
 
     def __init__(self) -> None:
         self.w: dict[str, list[float]] = {}
-        self.t = np.zeros((4, 3))  # row 3: start
+        self.t = np.zeros((5, 4))  # row 4: start
 
     def decode(self, feats: list[list[str]]) -> list[int]:
         get = self.w.get
-        t0, t1, t2, start = self.t.tolist()
-        s0, s1, s2 = start
+        t0, t1, t2, t3, start = self.t.tolist()
+        s0, s1, s2, s3 = start
         back = []
         for i, f in enumerate(feats):
-            e0 = e1 = e2 = 0.0
+            e0 = e1 = e2 = e3 = 0.0
             for x in f:
                 v = get(x)
                 if v is not None:
                     e0 += v[0]
                     e1 += v[1]
                     e2 += v[2]
+                    e3 += v[3]
             if i:
                 n = []
-                for k in (0, 1, 2):
-                    a, b, c = s0 + t0[k], s1 + t1[k], s2 + t2[k]
-                    n.append((a, 0) if a >= b and a >= c else (b, 1) if b >= c else (c, 2))
-                back.append((n[0][1], n[1][1], n[2][1]))
-                s0, s1, s2 = n[0][0], n[1][0], n[2][0]
-            s0, s1, s2 = s0 + e0, s1 + e1, s2 + e2
-        y = 0 if s0 >= s1 and s0 >= s2 else 1 if s1 >= s2 else 2
+                for k in (0, 1, 2, 3):
+                    best, at = s0 + t0[k], 0
+                    if (x := s1 + t1[k]) > best:
+                        best, at = x, 1
+                    if (x := s2 + t2[k]) > best:
+                        best, at = x, 2
+                    if (x := s3 + t3[k]) > best:
+                        best, at = x, 3
+                    n.append((best, at))
+                back.append((n[0][1], n[1][1], n[2][1], n[3][1]))
+                s0, s1, s2, s3 = n[0][0], n[1][0], n[2][0], n[3][0]
+            s0, s1, s2, s3 = s0 + e0, s1 + e1, s2 + e2, s3 + e3
+        y = max((0, 1, 2, 3), key=(s0, s1, s2, s3).__getitem__)
         path = [y]
         for b in reversed(back):
             y = b[y]
@@ -227,8 +292,8 @@ class LineModel:
 
     def fit(self, data: list[tuple[list[list[str]], list[int]]], epochs: int = 4) -> LineModel:
         """Averaged perceptron on whole sequences."""
-        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
-        tt, steps = np.zeros((4, 3)), 0
+        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
+        tt, steps = np.zeros((5, 4)), 0
         last: dict[str, int] = defaultdict(int)
         rng = random.Random(5)
         for _ in range(epochs):
@@ -240,12 +305,12 @@ class LineModel:
                     for f, a, b in zip(feats, gold, got, strict=True):
                         if a != b:
                             for x in f:
-                                v = self.w.setdefault(x, [0.0, 0.0, 0.0])
+                                v = self.w.setdefault(x, [0.0, 0.0, 0.0, 0.0])
                                 total[x] += np.array(v) * (steps - last[x])
                                 last[x] = steps
                                 v[a] += 1
                                 v[b] -= 1
-                    for (a1, a2), (b1, b2) in zip(zip([3, *gold], gold, strict=False), zip([3, *got], got, strict=False), strict=True):
+                    for (a1, a2), (b1, b2) in zip(zip([4, *gold], gold, strict=False), zip([4, *got], got, strict=False), strict=True):
                         self.t[a1, a2] += 1
                         self.t[b1, b2] -= 1
                 tt += self.t
@@ -291,125 +356,151 @@ def _slips(rng: random.Random, s: str) -> str:
     return s
 
 
+def _wrapped(rng: random.Random, text: str, width: int) -> list[str]:
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + 1 + len(w) > width:
+            if len(w) > 6 and rng.random() < 0.15:
+                k = rng.randint(2, len(w) - 3)
+                lines.append(f"{line} {w[:k]}{rng.choice(_HYPHENS)}")
+                line = w[k:]
+            else:
+                lines.append(line)
+                line = w
+        else:
+            line = f"{line} {w}".strip()
+    return [*lines, line]
+
+
 def train_lines(texts: list[str], words: Words, seed: int = 3) -> LineModel:
-    """Fit the line model on clean texts, wrapped and given noise."""
+    """Fit the line model on clean texts: one to three as the paragraphs of a page, which blank lines, indents or the
+    short line before tell apart; wrapped and given noise."""
     rng = random.Random(seed)
-    pool = sorted(w for w in words.known if w.isalpha() and w.islower() and len(w) > 3)[:5000]
-    proper = sorted(w for w in words.known if w[:1].isupper() and w.lower() not in words.known)[:5000]
-    data = []
-    for t in texts:
-        tokens = t.split()
-        if len(tokens) < 8:
-            continue
-        width, lines, line = rng.randint(34, 82), [], ""
-        for w in tokens:
-            if line and len(line) + 1 + len(w) > width:
-                if len(w) > 6 and rng.random() < 0.15:
-                    k = rng.randint(2, len(w) - 3)
-                    lines.append(f"{line} {w[:k]}{rng.choice(_HYPHENS)}")
-                    line = w[k:]
-                else:
-                    lines.append(line)
-                    line = w
-            else:
-                line = f"{line} {w}".strip()
-        lines.append(line)
-        labelled = [(_slips(rng, x), BODY) for x in lines]
-        if len(labelled) > 1:
+    pool = sorted(w for w in words.known if w.isalpha() and w.islower() and len(w) > 3)
+    proper = sorted(w for w in words.known if w[:1].isupper() and w.lower() not in words.known)
+    texts = [t for t in texts if len(t.split()) >= 8]
+    data, at = [], 0
+    while at < len(texts):
+        page = texts[at : at + rng.choice([1, 1, 1, 2, 2, 3])]
+        at += len(page)
+        width, style = rng.randint(34, 82), rng.choice(["blank", "blank", "indent", "short"])
+        rows: list[tuple[str, int, bool]] = []  # line, label, blank line before
+        for k, t in enumerate(page):
+            body = [(_slips(rng, x), BODY, False) for x in _wrapped(rng, t, width)]
+            new = BREAK if k else BODY
+            body[0] = (("    " if style == "indent" else "") + body[0][0], new, bool(k) and style == "blank")
+            rows += body
+        if len(rows) > 1:
             inserts = ([(_header(rng, pool, proper), HEADER)] if rng.random() < 0.4 else []) + ([(_page(rng), PAGE)] if rng.random() < 0.4 else [])
             rng.shuffle(inserts)
-            at = rng.randint(1, len(labelled) - 1)
-            if rng.random() < 0.5:
-                labelled[at:at] = inserts
-            else:
-                for x in inserts:
-                    labelled.insert(rng.randint(1, len(labelled) - 1), x)
-        lines = [x + rng.choice(["", "", "", " "]) for x, _ in labelled]
-        data.append((line_features(lines, words), [y for _, y in labelled]))
+            spaced = rng.random() < 0.25  # blank lines about page ends
+            where = rng.randint(1, len(rows) - 1)
+            together = rng.random() < 0.5
+            for x, y in inserts:
+                i = where if together else rng.randint(1, len(rows) - 1)
+                rows.insert(i, (x, y, spaced))
+                if spaced and i + 1 < len(rows):
+                    rows[i + 1] = (*rows[i + 1][:2], True)
+            if rng.random() < 0.1:  # a blank line inside a paragraph
+                i = rng.randint(1, len(rows) - 1)
+                if rows[i][1] == BODY and rows[i][0][:1].islower():
+                    rows[i] = (*rows[i][:2], True)
+            if rng.random() < 0.05:
+                rows = [(x, y, True) for x, y, _ in rows]
+        lines = [x + rng.choice(["", "", "", " "]) for x, _, _ in rows]
+        data.append((line_features(lines, words, [g for _, _, g in rows]), [y for _, y, _ in rows]))
     return LineModel().fit(data)
 
 
 # ---- repair -----------------------------------------------------------------------------------------------------
 
 
-def _new_paragraph(end: str, x: str, gap: int) -> bool:
-    """Whether a blank line before x ends a paragraph: not inside a sentence, as at the end of a page."""
-    if x[:1].islower() or end[-1] in _HYPHENS + ",;":
-        return False
-    return gap == 1 or end.rstrip(")]\"'”’").endswith((".", "!", "?", ":"))
+def _joined(end: str, x: str, words: Words) -> tuple[str, bool]:
+    """(text, whether a word was broken) of a body line after the text so far."""
+    broken = len(end) > 1 and end[-1] in _HYPHENS and end[-2].isalpha()
+    if not broken or not x:
+        return f"{end} {x}" if end and x else end or x, False
+    if x[0].isalpha():
+        left, right = end[:-1].rsplit(None, 1)[-1].lstrip(_EDGE), x.split(None, 1)[0].rstrip(_EDGE)
+        whole, compound = left + right, f"{left}-{right}"
+        if words.knows(whole) or not words.knows(compound) and (components(whole) in words.seen or components(compound) not in words.seen):
+            return end[:-1] + x, True
+    return end + x, False
+
+
+def _as_meant(text: str, words: Words) -> str:
+    before = ""
 
+    def one(m: re.Match) -> str:
+        nonlocal before
+        t, before = words.corrected(m[0], before), m[0]
+        return t
 
-def repair(text: str, words: Words, model: LineModel) -> tuple[str, set[str]]:
-    """(paragraph text, kinds of noise found)."""
+    return re.sub(r"\S+", one, text)
+
+
+def repair(text: str, words: Words, model: LineModel, write: bool = True) -> tuple[str, set[str]]:
+    """(paragraphs, kinds of noise found). write=False leaves misread words as they are."""
     noise: set[str] = set()
     if "\n" not in text and "\r" not in text:
-        return text.strip(), {"misread"} if words.any_misread(text.split()) else noise
-    lines, after = _BREAK.split(text), []  # after: a blank line lies before (1), and a header or page number too (2)
-    if len(lines) > 1:
-        filled, blank, gap = [], [], False
-        for x in lines:
+        out = text.strip()
+    else:
+        filled, gaps, gap = [], [], False
+        for x in _BREAK.split(text):
             if x.strip():
                 filled.append(x)
-                blank.append(gap)
+                gaps.append(gap)
             gap = not x.strip()
-        labels = model.decode(line_features(filled, words)) if filled else []
-        noise |= {("", "header", "page_no")[y] for y in labels if y}
-        lines, gap, between = [], False, False
-        for x, y, g in zip(filled, labels, blank, strict=True):
-            gap, between = gap or g, between or y != BODY
-            if y == BODY:
-                lines.append(x)
-                after.append(0 if not gap else 2 if between else 1)
-                gap = between = False
-    out = ""
-    for x, gap in zip(lines, after or [0] * len(lines), strict=True):
-        x = x.strip()
-        end = out.rstrip()
-        if gap and end and _new_paragraph(end, x, gap):
-            out = f"{end}\n\n{x}"
-            continue
-        broken = len(end) > 1 and end[-1] in _HYPHENS and end[-2].isalpha()
-        if not broken or not x:
-            out = f"{out} {x}" if out and x else out or x
-            continue
-        if x[0].isalpha():
-            left, right = end[:-1].rsplit(None, 1)[-1].lstrip(_EDGE), x.split(None, 1)[0].rstrip(_EDGE)
-            whole, compound = left + right, f"{left}-{right}"
-            if words.knows(whole) or not words.knows(compound) and (components(whole) in words.seen or components(compound) not in words.seen):
+        labels = model.decode(line_features(filled, words, gaps)) if len(filled) > 1 else [BODY] * len(filled)
+        noise |= {("header" if y == HEADER else "page_no") for y in labels if y in (HEADER, PAGE)}
+        parts: list[str] = []
+        for x, y in zip(filled, labels, strict=True):
+            if y in (HEADER, PAGE):
+                continue
+            if y == BREAK or not parts:
+                parts.append(x.strip())
+                continue
+            parts[-1], was = _joined(parts[-1], x.strip(), words)
+            if was:
                 noise.add("hyphenation")
-                end = end[:-1]
-        out = end + x
+        out = "\n\n".join(parts)
     if words.any_misread(out.split()):
         noise.add("misread")
+        out = _as_meant(out, words) if write else out
     return out, noise
 
 
-def word_counts(texts: DataFrame, text: str, rate: float = 1e-6) -> list[tuple[str, int, int]]:
-    """(word, count in texts without line breaks, count in all) of words that make up at least `rate` of all word
-    occurrences: at most 1/rate entries, whatever the size of the corpus. Counts cover all texts given; pass distinct
-    ones, so that a text that is copied often does not make its slips known words."""
+def word_counts(texts: DataFrame, text: str, rate: float = 1e-6) -> tuple[list[tuple[str, int, int]], int]:
+    """((word, count in texts without line breaks, count in all), count of all words without line breaks) of the known
+    words: in classes that make up at least `rate` of all occurrences, the words of a share of KNOWN or more, so at
+    most 1/rate times 1/KNOWN, whatever the size of the corpus. Counts cover all texts given; pass distinct ones, so
+    that a text that is copied often does not make its slips known words."""
     edge = F.lit(_EDGE)
     one = (~F.contains(text, F.lit("\n"))).cast("int").alias("one")
     w = texts.where(F.col(text).isNotNull()).select(one, F.explode(F.split(F.translate(text, "\r\n\t", "   "), " ")).alias("w"))
-    c = w.groupBy(F.trim("w", edge).alias("w")).agg(F.sum("one").alias("one"), F.count(F.lit(1)).alias("n"))
-    c = cut(c.where(r"w RLIKE '[^0-9.,/–-]' AND length(w) <= 64"))
-    total = c.agg(F.sum("n")).first()[0] or 0
-    return [(r["w"], r["one"], r["n"]) for r in c.where(F.col("n") >= rate * total).collect()]
+    c = w.groupBy(F.trim("w", edge).alias("w")).agg(F.sum("one").alias("one"), F.count(F.lit(1)).alias("n")).where(r"w RLIKE '[^0-9.,/–-]'")
+    c = cut(c.withColumn("k", components_column(F.col("w"))))
+    ones, total = c.agg(F.coalesce(F.sum("one"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = c.groupBy("k").agg(F.sum("one").alias("ones"), F.sum("n").alias("all")).where(F.col("all") >= rate * total)
+    fair = (F.col("one") > 0) & (F.col("one") >= KNOWN * F.col("ones")) if ones else F.col("n") >= SCANNED * F.col("all")
+    return [(r["w"], r["one"], r["n"]) for r in c.join(classes, "k").where(fair).select("w", "one", "n").collect()], ones
 
 
 def fit(texts: DataFrame, text: str, sample: int = 3000) -> tuple[Words, LineModel]:
     """Known words (all distinct texts) and line model (a bounded sample of `sample` distinct texts without line
     breaks, the smallest by hash)."""
     texts = cut(texts.where(F.col(text).isNotNull()).select(text).distinct())
-    words = Words(word_counts(texts, text))
-    clean = texts.where(~F.col(text).rlike(r"[\r\n]") & (F.length(text) > 60)).select(text)
-    rows = clean.orderBy(F.xxhash64(text), text).limit(sample).collect()
-    return words, train_lines([r[0] for r in rows], words)
+    words = Words(*word_counts(texts, text))
+    # only texts below a bound on the hash, some more than are wanted, leave the executors
+    plain = texts.where(~F.col(text).rlike(r"[\r\n]") & (F.length(text) > 60)).select(text, F.xxhash64(text).alias("h"))
+    share = min(1.0, 1.5 * (sample + 30) / max(1, plain.count()))
+    drawn = plain.where(F.col("h") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)).collect()
+    return words, train_lines([r[text] for r in sorted(drawn, key=lambda r: (r["h"], r[text]))[:sample]], words)
 
 
 def clean(df: DataFrame, key: str, text: str, words: Words, model: LineModel, paragraphs: bool = True) -> DataFrame:
     """key, paragraph STRING (null unless asked for), noise ARRAY<STRING>. Narrow."""
-    shared = df.sparkSession.sparkContext.broadcast((words, model))  # at most 1/rate words
+    shared = df.sparkSession.sparkContext.broadcast((words, model))  # bounded, see word_counts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, m = shared.value
@@ -419,10 +510,10 @@ def clean(df: DataFrame, key: str, text: str, words: Words, model: LineModel, pa
             if t is None:
                 return None, set()
             if len(t) > 40:
-                return repair(t, w, m)
+                return repair(t, w, m, paragraphs)
             r = short.get(t)
             if r is None:
-                r = repair(t, w, m)
+                r = repair(t, w, m, paragraphs)
                 if len(short) < 50_000:
                     short[t] = r
             return r

@@ -181,9 +181,49 @@ def test_scans(spark):
     words, model = scans.fit(df, "source_section")
     assert scans.repair(t[1], words, model)[0] == "The eluate was evaporated to dryness."
     assert scans.repair(t[3], words, model)[0] == "The eluate was evaporated to dryness and the residue was dissolved."
+    assert [scans.repair(t[i], words, model)[0] for i in (2, 9, 10)] == ["The eluate was evaporated to dryness.", "The column was washed.", "washed at 12 mL per minute"]
+    assert scans.repair("The C0LUMN, (c0lumn) and C0lumn.", words, model)[0] == "The COLUMN, (column) and Column."
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_word_knowledge_is_by_shares(spark):
+    """Which words are known does not depend on the size of the corpus, nor on the length of a word."""
+    long = "".join(chr(97 + i % 26) for i in range(200))
+    texts = [f"{'modern ' * 50} modem {long} {'the ' * 30}", "th3 modcrn"]
+    for copies in (1, 40):
+        df = spark.createDataFrame([(t + f" x{i}y" if i else t,) for t in texts for i in range(copies)], "t string")
+        got, ones = scans.word_counts(df, "t")
+        words = scans.Words(got, ones)
+        assert words.knows("modern") and words.knows("modem") and words.knows(long) and ones >= 82
+
+
+def test_components_as_an_expression(spark):
+    w = ["modern", "Column", "dryness", "1l|!09q68het", "nmduw", "ÜBER", ""]
+    df = spark.createDataFrame([(x,) for x in w], "w string")
+    assert [r[0] for r in df.select(scans.components_column(F.col("w"))).collect()] == [scans.components(x) for x in w]
+
+
+def test_headers_of_unseen_styles():
+    """Running headers in styles that the training does not write."""
+    words = scans.Words([(w, 50, 50) for w in {w.strip(".,") for c in CLEAN for w in c.split()}])
+    model = scans.train_lines(CLEAN[:150], words, seed=3)
+    r = random.Random(4)
+    styles = [lambda: f"© {r.randint(1970, 2024)} Belkor Society", lambda: f"BELKOR & TASVEN", lambda: f"Proc. Belk. Soc. {r.randint(1, 90)}:{r.randint(1, 900)}", lambda: f"Tasven, Q. / Minlura {r.randint(1, 90)}", lambda: f"Received 3 May {r.randint(1970, 2024)}; Belkor Press"]
+    tp = fp = fn = 0
+    for k, c in enumerate(CLEAN[100:200]):
+        w = c.split()
+        lines = [" ".join(w[:10]), " ".join(w[10:20]), " ".join(w[20:])]
+        gold = [0, 0, 0]
+        if k % 2:
+            lines.insert(1, r.choice(styles)())
+            gold.insert(1, scans.HEADER)
+        got = model.decode(scans.line_features(lines, words))
+        tp += sum(a == b == scans.HEADER for a, b in zip(got, gold))
+        fp += sum(a == scans.HEADER != b for a, b in zip(got, gold))
+        fn += sum(b == scans.HEADER != a for a, b in zip(got, gold))
+    assert tp / (tp + fn) >= 0.9 and tp / (tp + fp) >= 0.9, (tp, fp, fn)
+
+
 def test_copies_of_a_slip_stay_misread(spark):
     hot = [(5000 + i, f"The {w} column was washed twice.") for w in ("c0lumn", "1O") for i in range(300)]
     rows = [(1000 + i, c) for i, c in enumerate(CLEAN)] + [(i if "0" in t else i + 1000, t) for i, t in hot]
@@ -223,6 +263,8 @@ def test_blank_lines_part_paragraphs():
     wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 10]) for i in range(0, len(t.split()), 10))
     fix = lambda t: scans.repair(t, words, model)[0]
     assert fix(f"{wrap(one)}\n\n{wrap(two)}\n") == f"{one}\n\n{two}"
+    assert fix(f"{wrap(one)}\n    {wrap(two)}") == f"{one}\n\n{two}"
+    assert fix(f"{wrap(one)}\n\n{wrap(two)}\n\n{wrap(CLEAN[5])}") == f"{one}\n\n{two}\n\n{CLEAN[5]}"
     assert fix(f"{wrap(one)}\r\n \r\n- 12 -\r\n\r\n{wrap(two)}") == f"{one}\n\n{two}"
     inside = wrap(one).replace("\n", "\n\n", 1)
     assert fix(inside) == one and fix(inside.replace("\n\n", "\n\n- 12 -\n\n")) == one and fix(wrap(one)) == one

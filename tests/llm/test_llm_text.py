@@ -139,7 +139,7 @@ def test_hot_work_is_a_candidate(spark):
     papers += [(1000 + i, r.sample(pool, 6)) for i in range(200)] + [(3000, ["common", "words"])]
     books = [(1, title), (2, ["common", "words"])] + [(5000 + i, x) for i, x in papers if 1000 <= i < 3000] + [(9000 + i, ["common", "words", *r.sample(pool, 6)]) for i in range(120)]
     a, b = (spark.createDataFrame([(i, x, None) for i, x in rows], "rep long, w array<string>, d string") for rows in (papers, books))
-    got = {(x.a, x.b) for x in linkage.candidates(a, b).collect()}
+    got = {(x.a, x.b) for x in linkage.candidates(*linkage.known_words(a, b)).collect()}
     assert {(i, 1) for i in range(200)} <= got and (3000, 2) in got
     assert {(1000 + i, 6000 + i) for i in range(200)} <= got and len(got) < 2000
 
@@ -147,7 +147,7 @@ def test_hot_work_is_a_candidate(spark):
 def test_label_model_learns_a_bad_function():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.3
-    v = np.where(r.random((4000, 9)) < 0.85, np.where(y[:, None], 1, -1), 0)
+    v = np.where(r.random((4000, 8)) < 0.85, np.where(y[:, None], 1, -1), 0)
     v[:, 7] = r.integers(-1, 2, 4000)  # no information
     v[:, 5] = 0
     p, c = np.unique(v, axis=0, return_counts=True)
@@ -156,12 +156,32 @@ def test_label_model_learns_a_bad_function():
     assert np.mean([(back[tuple(x)] > 0.5) == t for x, t in zip(v, y, strict=True)]) > 0.995
 
 
-def test_rare_sets_are_rare_and_linear():
-    words = [(10, "a"), (50, "b"), (100, "c"), (400, "d"), (400, "e")]
-    sets = linkage.rare_sets(words, 1000, 0.5)
-    rate = dict((w, n / 1000) for n, w in words)
-    assert sets and all(1000 * np.prod([rate[w] for w in s]) <= 0.5 for s in sets)
-    assert linkage.rare_sets([(900, "a"), (900, "b"), (900, "c")], 1000, 0.5) == [["a", "b", "c"]]
+def test_word_sets_are_linear_and_agree_as_titles_do():
+    r = random.Random(3)
+    count = {f"w{i}": r.choice([5, 50, 500]) for i in range(300)}
+    sets = lambda w: linkage.word_sets(sorted(w), [count[x] for x in sorted(w)], 10_000.0, 64, 0.5)
+    met = lambda a, b: len(set(sets(a)) & set(sets(b)))
+    enough = stray = 0
+    for _ in range(200):
+        a = r.sample(sorted(count), 15)
+        b = a[:11] + r.sample(sorted(count), 2)  # four words lost, two others
+        enough += met(a, b) >= 2
+        stray += met(a, r.sample(sorted(count), 15)) >= 2
+    assert enough >= 198 and stray <= 2
+    assert len(sets(sorted(count))) == 64 and sets([]) == []
+    assert met(["w1"], ["w1"]) == 64
+
+
+def test_candidate_recall_with_slips(spark):
+    """Pairs of one work, titles shortened and with slips, are candidates nearly always; others hardly ever."""
+    r = random.Random(8)
+    pool = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    works = [r.sample(pool, 12) for _ in range(800)]
+    noisy = [[x if r.random() > 0.1 else x + "q" + str(r.random()) for x in w[: r.randint(8, 12)]] for w in works]
+    a = spark.createDataFrame([(i, w, None) for i, w in enumerate(noisy)], "rep long, w array<string>, d string")
+    b = spark.createDataFrame([(10_000 + i, w, None) for i, w in enumerate(works)], "rep long, w array<string>, d string")
+    got = {(x.a, x.b) for x in linkage.candidates(*linkage.known_words(a, b)).collect()}
+    assert sum((i, 10_000 + i) in got for i in range(800)) >= 0.98 * 800 and len(got) < 2 * 800
 
 
 # ---- scans ------------------------------------------------------------------------------------------------------

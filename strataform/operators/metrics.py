@@ -13,7 +13,7 @@ from strataform.operators.nested import SECTION_FIELDS
 SECTIONS = ("target_materials", "acids_and_solvents", "resins_or_columns", "elution_conditions", "final_products")
 #: Sections in which an equal isotope is a match.
 ISOTOPE_SECTIONS = ("target_materials", "final_products")
-#: Success needs at least these completeness and F1, and at most this hallucination rate.
+# Success needs at least these completeness and F1, and at most this hallucination rate.
 THRESHOLDS = {"completeness": 0.8, "f1": 0.65, "hallucination": 0.25}
 # Fields that must be filled (a tuple: any of them), that identify an item, that state a condition.
 REQUIRED = {
@@ -32,15 +32,9 @@ FIELDS = sorted({f for names in SECTION_FIELDS.values() for f in names})
 
 
 def item_fields(flat: DataFrame) -> DataFrame:
-    """flat items (record_key, section, item JSON) -> record_key, section, raw and canon: the texts of FIELDS as
-    written and in canonical form. One parse and one normal form per item, whatever the number of fields."""
-    v = staged(flat, {"v": F.expr("try_parse_json(item)")})
-
-    def field(f: str) -> Column:
-        paths = ["yield_", "yield"] if f == "yield_" else [f]
-        return F.coalesce(*[F.expr(f"CAST(try_variant_get(v, '$.{p}', 'variant') AS STRING)") for p in paths])
-
-    raw = staged(v, {"raw": F.array(*[field(f) for f in FIELDS])}).select("record_key", "section", "raw")
+    """flat items (record_key, section, item) -> record_key, section, raw and canon: the texts of FIELDS as written and in
+    canonical form. One normal form per item, whatever the number of fields."""
+    raw = staged(flat, {"raw": F.array(*[F.col("item")[f] for f in FIELDS])}).select("record_key", "section", "raw")
     both = staged(raw, {"norm": nfkc_all(F.col("raw"))})
     return staged(both, {"canon": F.transform("norm", lambda x: canonical_text(x, False))}).drop("norm")
 
@@ -79,23 +73,24 @@ def item_scores(flat: DataFrame) -> DataFrame:
 
 
 def section_stats(scored: DataFrame) -> DataFrame:
-    """Per record and section: items, distinct keys, duplicates, filled and checked fields, score, flagged. Counts
-    combine on the map side; a record's items never meet in one task before that."""
+    """Per record and section: items, distinct keys, duplicates, filled and checked fields, score, flagged; a row with null
+    section, and no items, per record if the flat items have one. Counts combine on the map side; a record's items
+    never meet in one task before that."""
     g = scored.groupBy("record_key", "section").agg(
-        F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set(F.nullif("key", F.lit("")))).alias("keys"), F.sum("filled").alias("filled"), F.sum("checked").alias("checked"),
-        F.sum("score").alias("score"), F.sum(F.col("flagged").cast("int")).alias("flagged"),
+        F.count("section").alias("items"), F.array_sort(F.collect_set(F.nullif("key", F.lit("")))).alias("keys"), F.sum("filled").alias("filled"), F.sum("checked").alias("checked"),
+        F.sum("score").alias("score"), F.sum((F.col("flagged") & F.col("section").isNotNull()).cast("int")).alias("flagged"),
     )
     return g.withColumn("duplicates", F.col("items") - F.size("keys"))
 
 
 def record_stats(sections: DataFrame) -> DataFrame:
     """Per record: completeness over the five sections, duplicate rate, schema validity, accuracy and
-    hallucination by heuristics, keys tagged by section."""
+    hallucination by heuristics (0 for a record without items), keys tagged by section."""
     rate = lambda a, b: F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b)), F.lit(0.0))
     return sections.groupBy("record_key").agg(
         (F.sum((F.col("items") > 0).cast("int")) / len(SECTIONS)).alias("completeness"), F.sum("items").alias("items_total"), F.sum("duplicates").alias("duplicates"),
         rate("duplicates", "items").alias("duplicate_rate"), rate("filled", "checked").alias("schema_validity"), rate("score", "items").alias("heuristic_accuracy"), rate("flagged", "items").alias("heuristic_hallucination"),
-        F.count_if(F.col("items") > 0).alias("sections"), F.map_from_entries(F.collect_list(F.struct("section", "keys"))).alias("keys"),
+        F.count_if(F.col("items") > 0).alias("sections"), F.map_from_entries(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", "keys")))).alias("keys"),
     )
 
 

@@ -46,7 +46,8 @@ def read_units(long: DataFrame, fields: list[str]) -> DataFrame:
 
 def fit_units(readings: DataFrame, fields: list[str]) -> dict[str, dict[str, tuple[float, float, float]]]:
     """Per field and candidate unit (weight, mean, deviation), mean and deviation of the field's values in
-    its one unit on the log scale (temperature: linear), weights by EM over the bare numbers.
+    its one unit on the log scale (temperature: linear). The components lie apart by the known conversion factors;
+    weights, mean and deviation by EM over the bare numbers, along with the values whose units are written.
 
     Only histograms of at most 2 * _REACH + 1 bins a field reach the driver, whatever the data's size.
     """
@@ -68,18 +69,22 @@ def fit_units(readings: DataFrame, fields: list[str]) -> dict[str, dict[str, tup
         pi = np.full(len(names), 1 / len(names))
         if len(b):
             y = b[:, 0] * _BIN
-            like = np.stack([_density_np(f, y, *q.CANDIDATES[f][n], mean, dev) for n in names], 1)
+            at = np.stack([_placed(f, y, *q.CANDIDATES[f][n]) for n in names], 1)
             for _ in range(100):
-                post = like * pi
+                post = np.exp(-0.5 * ((at - mean) / dev) ** 2) / dev * pi
                 post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-                pi = (post * b[:, 1:]).sum(0) / b[:, 1].sum()
+                part = post * b[:, 1:]
+                pi = part.sum(0) / max(part.sum(), 1e-300)
+                total = w.sum() + part.sum()
+                mean = float(((x * w).sum() + (at * part).sum()) / total)
+                dev = max(float(math.sqrt((((x - mean) ** 2 * w).sum() + ((at - mean) ** 2 * part).sum()) / total)), 0.1)
         out[f] = {n: (float(pi[i]), mean, dev) for i, n in enumerate(names)}
     return out
 
 
-def _density_np(field: str, y: np.ndarray, factor: float, offset: float, mean: float, dev: float) -> np.ndarray:
-    at = (y * 20 * factor + offset) / 20 if field == "temperature" else y + math.log10(factor)
-    return np.exp(-0.5 * ((at - mean) / dev) ** 2) / dev
+def _placed(field: str, y: np.ndarray, factor: float, offset: float) -> np.ndarray:
+    """Where numbers lie on the field's scale if they are in a unit."""
+    return (y * 20 * factor + offset) / 20 if field == "temperature" else y + math.log10(factor)
 
 
 def convert(long: DataFrame, fields: list[str], sure: float = 0.95) -> DataFrame:
@@ -113,13 +118,15 @@ def convert(long: DataFrame, fields: list[str], sure: float = 0.95) -> DataFrame
 
 
 def same_quantity_pairs(amounts: DataFrame, item: str, within: str, rel: float = 0.01, degrees: float = 0.5) -> DataFrame:
-    """(field, item_a, item_b) of amounts in the same group whose texts differ but whose values agree.
+    """(field, item_a, item_b) of amounts in the same group whose texts differ but whose values agree. Amounts whose unit
+    is uncertain state no quantity and make no pair.
 
     An equi-join on group and value bucket: one side holds its own bucket, the other its neighbours too, so
     that a group of any size is met only by values next to each other, never by all of its pairs."""
     a = amounts.where(F.col("value").isNotNull() & ~F.col("uncertain") & F.col(within).isNotNull())
     temp = F.col("field") == "temperature"
-    bucket = F.when(temp, F.floor(F.col("value") / degrees)).when(F.col("value") > 0, F.floor(F.log(F.when(F.col("value") > 0, F.col("value"))) / -math.log1p(-rel))).when(F.col("value") == 0, F.lit(-(10**9)))
+    size = F.floor(F.log(F.nullif(F.abs("value"), F.lit(0.0))) / -math.log1p(-rel))  # negative amounts far from positive ones
+    bucket = F.when(temp, F.floor(F.col("value") / degrees)).when(F.col("value") == 0, F.lit(-(10**9))).otherwise(size + F.when(F.col("value") < 0, 10**9).otherwise(0))
     a = staged(a, {"b": bucket.cast("bigint")}).select("field", F.col(within).alias("g"), F.col(item).alias("item"), "text", "value", "b")
     left = a.select("field", "g", "b", F.col("item").alias("item_a"), F.col("text").alias("ta"), F.col("value").alias("va"))
     right = a.select("field", "g", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("item").alias("item_b"), F.col("text").alias("tb"), F.col("value").alias("vb"))

@@ -155,18 +155,18 @@ _SUCCESS_SQL = f"""WITH e AS ({_EXACT_SQL}), n AS (SELECT record_key, count(DIST
 SELECT record_key, n >= 5 AND micro_f1 >= 0.65 AND hallucination_rate <= 0.25 AS task_success FROM e JOIN n USING (record_key)"""
 
 
-def _record_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_items(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record", list(metrics.SECTIONS))
+def _record_items(spark: SparkSession, d: str, fields: list[str] | None = None, records: bool = False) -> DataFrame:
+    return nested.flatten_items(table(spark, d, "extraction_records", "record_id", "record"), "record_id", "record", list(metrics.SECTIONS), fields, records)
 
 
 def record_report(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: completeness, duplicates, validity and heuristic scores of every extraction record."""
-    r = metrics.score_records(_record_items(spark, d))
+    """Flagship: completeness, duplicates, validity and heuristic scores of every extraction record, those without items too."""
+    r = metrics.score_records(_record_items(spark, d, records=True))
     return r.select(F.col("record_key").alias("record_id"), r6("completeness").alias("completeness"), "items_total", "duplicates", r6("duplicate_rate").alias("duplicate_rate"), r6("schema_validity").alias("schema_validity"), r6("heuristic_accuracy").alias("heuristic_accuracy"), r6("heuristic_hallucination").alias("heuristic_hallucination"))
 
 
 def json_items(spark: SparkSession, d: str) -> DataFrame:
-    return _record_items(spark, d).groupBy(F.col("record_key").alias("record_id"), "section").agg(F.count(F.lit(1)).alias("items"))
+    return _record_items(spark, d, []).groupBy(F.col("record_key").alias("record_id"), "section").agg(F.count(F.lit(1)).alias("items"))
 
 
 def json_records(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +25,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     ship(spark)
@@ -49,15 +51,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """Use the folder named by spark.checkpoint.dir, which all executors share. Where it is unset, a session in one
+    process (tests) gets a folder of its machine; any other is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataform-ckpt-"))
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strataform-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: reused results are computed once and survive
-    the loss of an executor."""
+    the loss of an executor. Spark deletes the files once nothing refers to them, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

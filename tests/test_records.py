@@ -78,6 +78,16 @@ def test_scores(spark):
     assert g.micro_f1 == 1.0 and g.macro_f1 == 1.0 and g.hallucination_rate == 0.0
 
 
+def test_records_without_items_are_scored(spark):
+    rows = [(1, record(final_products=[{"name": "x", "source_section": "s"}])), (2, "{}"), (3, record(final_products=[])), (4, "[]"), (5, None), (6, '{"cut')]
+    df = spark.createDataFrame(rows, "record_id long, record string")
+    r = {x.record_key: x for x in metrics.score_records(nested.flatten_items(df, "record_id", "record", list(metrics.SECTIONS), records=True)).collect()}
+    assert sorted(r) == [1, 2, 3]
+    assert (r[1].completeness, r[1].items_total, r[1].sections) == (0.2, 1, 1)
+    for k in (2, 3):
+        assert (r[k].completeness, r[k].items_total, r[k].duplicates, r[k].duplicate_rate, r[k].schema_validity, r[k].heuristic_accuracy, r[k].heuristic_hallucination, r[k].keys) == (0.0, 0, 0, 0.0, 0.0, 0.0, 0.0, {})
+
+
 def test_sources_and_cascade(spark, tmp_path):
     gold, out = tmp_path / "gold", tmp_path / "out"
     gold.mkdir()

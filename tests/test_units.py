@@ -59,3 +59,8 @@ def test_missing_units(spark):
     got = {x.item_id: x for x in units.convert(long, ["volume"]).where("item_id >= 1000").collect()}
     assert (got[1000].unit, got[1001].unit, got[1002].unit, got[1003].value) == ("uL", "mL", "L", None)
     assert abs(got[1000].value - 10) < 1e-9 and not got[1000].uncertain and got[1000].posterior > 0.95
+
+
+def test_negative_amounts_meet(spark):
+    a = spark.createDataFrame([(1, 7, "volume", "-5 mL", -5.0, False), (2, 7, "volume", "-0.005 L", -5.0, False), (3, 7, "volume", "5 mL", 5.0, False), (4, 7, "volume", "5.04 mL", 5.04, False), (5, 7, "volume", "0 L", 0.0, False), (6, 7, "volume", "0 mL", 0.0, False)], "item_id long, step_id long, field string, text string, value double, uncertain boolean")
+    assert sorted((r.item_a, r.item_b) for r in units.same_quantity_pairs(a, "item_id", "step_id").collect()) == [(1, 2), (3, 4), (5, 6)]

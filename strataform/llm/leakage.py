@@ -215,9 +215,9 @@ def item_seeds(tests: DataFrame, share: float) -> DataFrame:
 
 
 def seed_bitmap(lookup: DataFrame, most: int = 27) -> tuple[np.ndarray, int]:
-    """(bytes, bits used of a hash): a bitmap of the hashes, some 32 bits each, at most 2^most bits (16 MB)."""
+    """(bytes, bits used of a hash): a bitmap of the hashes, some 256 bits each, at most 2^most bits (16 MB)."""
     n = lookup.count()
-    bits = min(most, max(15, int(n * 32).bit_length()))
+    bits = min(most, max(15, int(n * 256).bit_length()))
     low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))  # bit x of the map is position x + 1
     parts = lookup.select((low + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
@@ -227,9 +227,10 @@ def seed_bitmap(lookup: DataFrame, most: int = 27) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def scan(docs: DataFrame, tests: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, share: float = 0.5, min_piece: int = 8, bits: int = 27) -> DataFrame:
+def scan(docs: DataFrame, tests: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, share: float = 0.5, min_piece: int = 8, bits: int = 27, hits_needed: int = 4) -> DataFrame:
     """doc_id, item_id, held DOUBLE (share of the item's words), pieces INT. bits: most bits of the bitmap that hashes
-    pass before the join; it changes the work, never the rows."""
+    pass before the join; it changes the work, never the rows. hits_needed: hashes that document and item must share
+    to be aligned; half an item of 50 words has some 130 of them, and with four words in ten changed some 10."""
     spark = docs.sparkSession
     ship(spark)
     items = tests.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("words")).where("item IS NOT NULL AND words IS NOT NULL")
@@ -273,7 +274,7 @@ def scan(docs: DataFrame, tests: DataFrame, doc_id: str, doc_text: str, item_id:
     hits = near.select("d", F.inline("hits"))
     weighed = cut(hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(lookup, "h"))
     met = hot_split_lookup(hits, weighed, ["h"], "n").select("d", "p", F.inline("owners"))
-    pairs = cut(met.groupBy("d", "item").agg(F.collect_set(F.col("p") - F.col("pos")).alias("diagonals")))
+    pairs = cut(met.groupBy("d", "item").agg(F.collect_set(F.col("p") - F.col("pos")).alias("diagonals"), F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= hits_needed).drop("hits"))
     texts = cut(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(items, "item"))
     both = hot_split_lookup(pairs, texts, ["item"], "n").join(near.select("d", "t"), "d")
 

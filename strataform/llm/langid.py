@@ -19,8 +19,10 @@ result is empty.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,17 @@ _ASIDE = re.compile(r"\([^().!?]*\)|[“„«\"][^“”„«»\".!?]*[”“»\
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products to one thread: the tasks are the parallelism, and waiting threads cost as much
+    as working ones. Without effect where numpy brings no OpenBLAS of its own."""
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                return
+
+
 def label(c: Column) -> Column:
     """The language a label names, if it is one of LANGS; null for missing, unknown and other ones."""
     base = F.regexp_extract(F.lower(F.trim(c)), r"^([\p{L}]+)", 1)
@@ -198,6 +211,7 @@ def sample_sentences(text: str, rng: np.random.Generator, per_text: int) -> list
 def train(rows: list[tuple[str, list[np.ndarray]]], per_language: int = 2500, epochs: int = 5) -> ByteNet | None:
     """Fit on (language, windows of sentences) rows. At most per_language windows a language, one of each sentence
     drawn; one sentence in ten is held out for the calibration."""
+    one_thread()
     r = np.random.default_rng(11)
     xs, ys, held = [], [], []
     for y, lang in enumerate(LANGS):
@@ -289,8 +303,9 @@ def segments(docs: DataFrame, key: str, text: str, net: ByteNet) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strataform.llm.langid import read_texts
+        from strataform.llm.langid import one_thread, read_texts
 
+        one_thread()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -323,8 +338,9 @@ def found(docs: DataFrame, key: str, text: str, lang: str, sure: float = 0.8) ->
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strataform.llm.langid import read_texts
+        from strataform.llm.langid import one_thread, read_texts
 
+        one_thread()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 keys, texts, said = (b.column(i).slice(lo, 256).to_pylist() for i in range(3))

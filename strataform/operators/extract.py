@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.operators.nested import SECTION_FIELDS
+from strataform.functions.stage import staged
+from strataform.operators.nested import SECTION_FIELDS, complete_object, keep_last_keys
 
 
 class Provider(Protocol):
@@ -34,6 +35,14 @@ class FirstWords:
         return user[: self.n]
 
 
+@dataclass
+class Echo:
+    """A deterministic stand-in that replies with the message."""
+
+    def complete(self, system: str, user: str) -> str:
+        return user
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     provider: str
@@ -158,6 +167,20 @@ def extract_sections(texts: DataFrame, make: Callable[[], Provider], prompts: di
     return out
 
 
+def extract_all(texts: DataFrame, make: Callable[[], Provider], prompt: str = "Extract.") -> DataFrame:
+    """doc and one JSON text per section, by one call a document whose reply holds all sections; what of a reply cannot
+    be read is an empty section."""
+    keep_last_keys(texts.sparkSession)
+    r = staged(complete(texts, ["doc"], "text", prompt, make), {"v": complete_object("reply")})
+    section = lambda s: F.expr(f"CASE WHEN try_variant_get(v, '$.{s}.items', 'array<variant>') IS NOT NULL THEN to_json(try_variant_get(v, '$.{s}', 'variant')) END")
+    return r.select("doc", *[F.coalesce(section(s), F.lit('{"items":[]}')).alias(s) for s in SECTION_FIELDS])
+
+
+def first_document(docs: DataFrame, *order: str) -> DataFrame:
+    """The first document in the order given: the mode that runs one paper only."""
+    return docs.orderBy(*order).limit(1)
+
+
 def with_metadata(records: DataFrame, meta: DataFrame) -> DataFrame:
     """The scanned title and DOI replace what a model made of them; documents without a record get an empty one."""
     return meta.join(records, "doc", "left").select("doc", F.to_json(F.struct("title", "doi")).alias("paper_metadata"), *[F.coalesce(s, F.lit('{"items":[]}')).alias(s) for s in SECTION_FIELDS])

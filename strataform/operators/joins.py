@@ -69,18 +69,24 @@ def nearest_by_text(preds: DataFrame, gold: DataFrame, names: tuple[str, ...] =
     if part:
         out = add(part, out)
     if out is None:
-        raise ValueError("no gold records to match against")
+        return preds.select("path", F.lit(None).cast("string").alias("fuzzy_gold"), F.lit(None).cast("double").alias("ratio"))
     best = out.groupBy("path").agg(F.min(F.struct((-F.col("r")).alias("n"), "g")).alias("m"))
     return best.select("path", F.when(-F.col("m.n") >= least, F.col("m.g")).alias("fuzzy_gold"), (-F.col("m.n")).alias("ratio"))
 
 
+def by_equal_keys(preds: DataFrame, gold: DataFrame) -> DataFrame:
+    """preds with gold_path and mode: by stem, else by identifier; null where neither is equal."""
+    step = by_identifier(by_stem(preds, gold), gold)
+    mode = F.when(F.col("stem_gold").isNotNull(), "stem").when(F.col("doi_gold").isNotNull(), "doi")
+    return step.withColumns({"gold_path": F.coalesce("stem_gold", "doi_gold"), "mode": mode}).drop("stem_gold", "doi_gold")
+
+
 def cascade(preds: DataFrame, gold: DataFrame, strict: bool = False) -> DataFrame:
     """path, gold_path, mode: stem, doi or fuzzy; only what the equal keys leave over meets the text search.
     strict raises on a prediction without a gold record."""
-    step = by_identifier(by_stem(preds, gold), gold)
-    sure = step.where("stem_gold IS NOT NULL OR doi_gold IS NOT NULL")
-    found = sure.select("path", F.coalesce("stem_gold", "doi_gold").alias("gold_path"), F.when(F.col("stem_gold").isNotNull(), "stem").otherwise("doi").alias("mode"))
-    rest = step.where("stem_gold IS NULL AND doi_gold IS NULL")
+    step = by_equal_keys(preds, gold)
+    found = step.where("mode IS NOT NULL").select("path", "gold_path", "mode")
+    rest = step.where("mode IS NULL").drop("gold_path", "mode")
     fuzzy = nearest_by_text(rest, gold).select("path", F.col("fuzzy_gold").alias("gold_path"), F.when(F.col("fuzzy_gold").isNotNull(), "fuzzy").alias("mode"))
     out = found.unionByName(fuzzy)
     if strict:

@@ -78,7 +78,7 @@ def section_stats(scored: DataFrame) -> DataFrame:
     never meet in one task before that."""
     g = scored.groupBy("record_key", "section").agg(
         F.count("section").alias("items"), F.array_sort(F.collect_set(F.nullif("key", F.lit("")))).alias("keys"), F.sum("filled").alias("filled"), F.sum("checked").alias("checked"),
-        F.sum("score").alias("score"), F.sum((F.col("flagged") & F.col("section").isNotNull()).cast("int")).alias("flagged"),
+        F.sum(F.when(F.col("section").isNotNull(), F.col("score")).otherwise(0.0)).alias("score"), F.sum((F.col("flagged") & F.col("section").isNotNull()).cast("int")).alias("flagged"),
     )
     return g.withColumn("duplicates", F.col("items") - F.size("keys"))
 

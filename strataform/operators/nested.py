@@ -51,10 +51,15 @@ def complete_object(text: str) -> Column:
     return F.expr(f"transform(array({whole}), w -> CASE WHEN {ok} THEN try_variant_get(w, '$[0]', 'variant') END)[0]")
 
 
-def _fields(item: str, fields: list[str]) -> str:
-    """Struct of the fields of a variant as texts, and whether it is an object (o). Leaves of another kind come as their
-    JSON text; `yield` and `yield_` both fill yield_."""
-    one = lambda f: f"CAST(try_variant_get({item}, '$.{f}', 'variant') AS STRING)"
+def _fields(item: str, section: str, fields: list[str]) -> str:
+    """Struct of the fields of item number i as texts, and whether it is an object (o). Leaves of another kind come as
+    their JSON text; `yield` and `yield_` both fill yield_. A variant orders keys anew, so the rare leaf that is an
+    object or array is read from the text."""
+
+    def one(f: str) -> str:
+        written = f"get_json_object(`__text`, concat('$.{section}.items[', i, '].{f}'))"
+        return f"transform(array(CAST(try_variant_get({item}, '$.{f}', 'variant') AS STRING)), s -> CASE WHEN startswith(s, '{{') OR startswith(s, '[') THEN coalesce({written}, s) ELSE s END)[0]"
+
     parts = [f"'{f}', " + (f"coalesce({one(f)}, {one('yield')})" if f == "yield_" else one(f)) for f in fields]
     return f"named_struct({', '.join([f"'o', schema_of_variant({item}) LIKE 'OBJECT%'", *parts])})"
 
@@ -62,7 +67,7 @@ def _fields(item: str, fields: list[str]) -> str:
 def _items(section: str, fields: list[str]) -> Column:
     """items of a section as array<struct>; null unless section is an object with an array."""
     own = [f for f in fields if f in SECTION_FIELDS[section]]
-    typed = F.expr(f"transform(try_variant_get(v, '$.{section}.items', 'array<variant>'), x -> {_fields('x', own)})")
+    typed = F.expr(f"transform(try_variant_get(v, '$.{section}.items', 'array<variant>'), (x, i) -> {_fields('x', section, own)})")
     if own == fields:
         return typed
     return F.transform(typed, lambda x: F.struct(x["o"].alias("o"), *[(x[f] if f in own else F.lit(None).cast("string")).alias(f) for f in fields]))

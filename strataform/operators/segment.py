@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Shapes of a heading line.
 HEADINGS = (r"^\s*\d+\.\s+[A-Z][A-Za-z].+$", r"^\s*\d+\.\d+\.\s+[A-Z][A-Za-z].+$", r"^[A-Z][A-Z\s\-]{3,}$", r"^(Abstract|Introduction|Results|Discussion|Conclusion|References)\b")
-#: Words that open a new step of a procedure.
+# Words that open a new step of a procedure.
 STEP_WORDS = ("After", "Then", "Subsequently", "Next", "Finally")
 
 
@@ -122,6 +122,13 @@ def procedural_parts_or_whole(text: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
+def document_chunks(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """The combined loader: chunks of the pages' text, then the tables as documents of their own. pages: doc, page, text,
+    is_table."""
+    rows = lines(pages.where("NOT is_table"), "doc", "text", "page")
+    return with_tables(chunks(sections(rows)), tables)
+
+
 def with_tables(chunk_df: DataFrame, tables: DataFrame) -> DataFrame:
     """Chunks, then tables (section Table, no chunk id), with their order: nothing is merged or dropped."""
     return chunk_df.withColumn("part", F.lit(0)).unionByName(tables.withColumn("part", F.lit(1)), allowMissingColumns=True)

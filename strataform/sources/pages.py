@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,57 @@ def fitz_parser(data: bytes) -> tuple[list[str], str, list[tuple[str, int | None
     except ImportError as e:
         raise RuntimeError("reading PDF files needs PyMuPDF") from e
     with fitz.open(stream=data, filetype="pdf") as d:
-        return [p.get_text() for p in d], (d.metadata or {}).get("title") or "", []
+        tables = [("\n".join("\t".join(c or "" for c in r) for r in t.extract()), n) for n, p in enumerate(d) for t in p.find_tables().tables]
+        return [p.get_text() for p in d], (d.metadata or {}).get("title") or "", tables
+
+
+class _Html(HTMLParser):
+    """Text outside tables by page (a new one at <hr>), the title, and tables with a line per row and tabs between
+    cells."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.pages, self.title, self.tables = [""], "", []
+        self.depth, self.inside = 0, ""
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.depth += 1
+            if self.depth == 1:
+                self.tables.append(("", len(self.pages) - 1))
+        elif tag in ("tr", "td", "th") and self.depth:
+            text, page = self.tables[-1]
+            self.tables[-1] = (text + ("\n" if tag == "tr" and text else "\t" if tag != "tr" and text and text[-1] != "\n" else ""), page)
+        elif tag in ("p", "br", "div", "li", "h1", "h2", "h3", "h4") and self.pages[-1]:
+            self.pages[-1] += "\n"
+        elif tag == "hr":
+            self.pages.append("")
+        self.inside = tag if tag in ("title", "script", "style") else ""
+
+    def handle_endtag(self, tag: str) -> None:
+        self.depth -= tag == "table" and self.depth > 0
+        self.inside = ""
+
+    def handle_data(self, data: str) -> None:
+        words = " ".join(data.split())
+        if not words or self.inside in ("script", "style"):
+            return
+        if self.inside == "title":
+            self.title += words
+        elif self.depth:
+            text, page = self.tables[-1]
+            self.tables[-1] = (text + words, page)
+        else:
+            end = self.pages[-1]
+            self.pages[-1] = f"{end} {words}" if end and end[-1] != "\n" else end + words
+
+
+def html_parser(data: bytes) -> tuple[list[str], str, list[tuple[str, int | None]]]:
+    """Pages of HTML, with their tables; needs nothing but the standard library."""
+    h = _Html()
+    h.feed(data.decode("utf-8", "replace"))
+    h.close()
+    return h.pages, h.title, list(h.tables)
 
 
 def read_documents(spark: SparkSession, path: str, parser: Parser = fitz_parser, glob: str = "*.pdf") -> DataFrame:

@@ -66,6 +66,11 @@ def timing_files(spark: SparkSession, path: str) -> DataFrame:
     return concatenated_objects(t, "text", ["exp"])
 
 
+def read_prompts(folder: str | Path, pattern: str = "*.txt") -> dict[str, str]:
+    """Name without ending and text of the prompt files of a folder: driver-side constants of a run."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob(pattern))}
+
+
 def read_yaml(path: str | Path) -> dict[str, Any]:
     try:
         import yaml

@@ -110,3 +110,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("arrived").count() == 2
+
+
+def test_html_pages_tables_and_the_combined_loader(spark, tmp_path):
+    from strataform.sources import pages
+
+    html = "<html><head><title>On wells</title><style>p {}</style></head><body><h1>1. Methods used</h1><p>Water was <b>heated</b> twice.</p><table><tr><th>step</th><th>mL</th></tr><tr><td>wash</td><td>5</td></tr></table><hr><p>Second page here.</p></body></html>"
+    text, title, tables = pages.html_parser(html.encode())
+    assert title == "On wells" and tables == [("step\tmL\nwash\t5", 0)]
+    assert text == ["1. Methods used\nWater was heated twice.", "Second page here."] and pages.html_parser(b"") == ([""], "", [])
+    (tmp_path / "a.html").write_text(html)
+    docs = pages.read_documents(spark, str(tmp_path), pages.html_parser, "*.html")
+    got = [(r.section, r.page_content) for r in segment.document_chunks(docs, pages.table_rows(docs)).orderBy("part", "chunk_id").collect()]
+    assert got == [("1. Methods used", "Water was heated twice.\nSecond page here."), ("Table", "step\tmL\nwash\t5")]
+
+
+def test_prompts_first_document_and_one_call_extraction(spark, tmp_path):
+    from strataform.sources import records
+
+    (tmp_path / "b.txt").write_text("Säure")
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "c.md").write_text("no")
+    assert records.read_prompts(tmp_path) == {"a": "one", "b": "Säure"}
+    docs = spark.createDataFrame([(2, "b"), (1, "c"), (1, "a")], "doc int, text string")
+    assert [tuple(r) for r in extract.first_document(docs, "doc", "text").collect()] == [(1, "a")]
+    t = spark.createDataFrame([(1, '{"final_products": {"items": [{"name": "x"}], "note": 1}, "target_materials": {"items": 3}}'), (2, "no json"), (3, None)], "doc int, text string")
+    got = {r.doc: r for r in extract.extract_all(t, extract.Echo).collect()}
+    assert got[1].final_products == '{"items":[{"name":"x"}],"note":1}' and got[1].target_materials == got[2].final_products == got[3].final_products == '{"items":[]}'

@@ -107,6 +107,8 @@ def test_sources_and_cascade(spark, tmp_path):
     assert (t.exp, t.stem, t.rag_time, t.full_summary_time) == (18, "a", 2.5, 0.0)
     r = joins.with_runtime(p, records.timing_files(spark, str(out))).where("exp = 18").first()
     assert r.runtime_seconds == 2.5
+    none = {r.mode for r in joins.cascade(p, g.limit(0)).collect()}
+    assert none == {None}
     assert records.model_name({"llm_model": "m", "model": 3}) == "m"
     df = spark.createDataFrame([(1, '{"target_materials": {"items": []}}'), (2, '{"target_materials": []}'), (3, None)], "i int, t string")
     assert [x.is_record for x in records.with_record_flag(df, "t").orderBy("i").collect()] == [True, False, False]

@@ -4,7 +4,7 @@ SQL only. Values are made distinct, cleaned of strengths, grades and remarks, an
 whose entries are words by their stem, too). What is left goes through a partition-based pigeonhole join: a
 reference string of length L that allows k edits is cut into k+1 segments; any string within k edits holds one of
 them unchanged, near its place, so an equality join on positional substrings finds every candidate, and levenshtein
-verifies it. Values that stay unmatched are found by an anti-join.
+verifies it. Values that stay unmatched are found by anti-joins.
 
 What is another name, though much like a listed one, and what a slip, is told from all values: one particular slip
 is rare, so a string that comes up in at least a tenth (two slips and more: a hundredth) as many values as the entry
@@ -127,16 +127,16 @@ def near(spark: SparkSession, keys: DataFrame, refs: DataFrame) -> DataFrame:
     near. The lengths go by broadcast: strings of S characters in all have at most sqrt(2 S) different lengths."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size, at = "(L div (E + 1) + CAST(i >= E + 1 - L % (E + 1) AS INT))", "(1 + i * (L div (E + 1)) + greatest(0, i - (E + 1 - L % (E + 1))))"
-    segs = cut(run_sql(
+    segs = run_sql(
         spark,
         f"""WITH l AS (SELECT kind, term_id, k, length(k) AS L FROM @r WHERE NOT formula), e AS (SELECT *, {_SLIPS} + 1 AS E FROM l WHERE L > 3), s AS (SELECT *, explode(sequence(0, E)) AS i FROM e)
             SELECT kind, term_id, k AS rk, L, E, i, substr(k, {at}, {size}) AS seg FROM s""",
         r=refs,
-    ))
+    )
     pairs = run_sql(
         spark,
         f"""WITH n AS (SELECT /*+ REPARTITION({tasks}) */ kind, k, length(k) AS n FROM @k WHERE length(k) > 2), a AS (SELECT *, explode(sequence(greatest(4, n - 4), n + 4)) AS L FROM n),
-            x AS (SELECT DISTINCT kind, L, E FROM @s), l AS (SELECT /*+ BROADCAST(x) */ a.*, x.E FROM a JOIN x ON a.kind = x.kind AND a.L = x.L WHERE abs(n - a.L) <= x.E),
+            x AS (SELECT DISTINCT kind, L, {_SLIPS} + 1 AS E FROM (SELECT kind, length(k) AS L FROM @r WHERE NOT formula) WHERE L > 3), l AS (SELECT /*+ BROADCAST(x) */ a.*, x.E FROM a JOIN x ON a.kind = x.kind AND a.L = x.L WHERE abs(n - a.L) <= x.E),
             s AS (SELECT *, explode(sequence(0, E)) AS i FROM l),
             o AS (SELECT *, {size} AS len, {at} AS p, greatest(-i, n - L - (E - i)) AS lo, least(i, n - L + (E - i)) AS hi FROM s),
             b AS (SELECT DISTINCT kind, k, L, i, substr(k, p + o, len) AS seg FROM (SELECT *, explode(sequence(lo, hi)) AS o FROM o WHERE lo <= hi) WHERE p + o >= 1 AND p + o + len - 1 <= n)
@@ -144,6 +144,7 @@ def near(spark: SparkSession, keys: DataFrame, refs: DataFrame) -> DataFrame:
             WHERE regexp_replace(b.k, '[^0-9]', '') = regexp_replace(s.rk, '[^0-9]', '')""",
         k=keys,
         s=segs,
+        r=refs,
     )
     swap = "concat(substr(k, 1, i - 1), substr(k, i + 1, 1), substr(k, i, 1), substr(k, i + 2))"
     swapped = f"least(lev, 1 + array_min(transform(sequence(1, greatest(length(k) - 1, 1)), i -> levenshtein({swap}, rk))))"
@@ -188,22 +189,27 @@ def match(spark: SparkSession, values: DataFrame, refs: DataFrame, least: int =
         c=values,
     ))
     slips = cut(run_sql(spark, "SELECT v.kind, v.val, v.k, v.level, h.d, h.term_id FROM @v v JOIN @h h ON v.kind = h.kind AND v.k = h.k WHERE NOT h.own", v=rest, h=hits))
-    first = cut(run_sql(spark, "SELECT DISTINCT kind, val FROM (SELECT kind, val FROM @a UNION ALL SELECT kind, val FROM @b UNION ALL SELECT kind, val FROM @c)", a=short, b=words, c=slips))
+    first = run_sql(spark, "SELECT DISTINCT kind, val FROM (SELECT kind, val FROM @a UNION ALL SELECT kind, val FROM @b UNION ALL SELECT kind, val FROM @c)", a=short, b=words, c=slips)
     # names of their own compete for the slips
-    names = run_sql(
+    names = cut(run_sql(
         spark,
         f"""WITH u AS (SELECT DISTINCT v.kind, v.k FROM @v v LEFT ANTI JOIN @f f ON v.kind = f.kind AND v.val = f.val WHERE v.level < 2)
             SELECT k.kind, k.k, 0 AS term_id, false AS formula FROM @k k JOIN u ON k.kind = u.kind AND k.k = u.k WHERE k.n >= {least} AND k.whole""",
         v=rest,
         f=first,
         k=keys,
-    )
-    doubtful = run_sql(spark, "SELECT DISTINCT kind, k FROM @s WHERE level < 2 UNION SELECT v.kind, v.k FROM @v v LEFT SEMI JOIN @s s ON v.kind = s.kind AND v.val = s.val WHERE v.level < 2", s=slips, v=rest)
+    ))
+    doubtful = run_sql(spark, "SELECT DISTINCT v.kind, v.k FROM @v v LEFT SEMI JOIN @s s ON v.kind = s.kind AND v.val = s.val WHERE v.level < 2", s=slips, v=rest)
     rivals = run_sql(spark, "SELECT v.kind, v.val, v.level, h.d, h.term_id FROM @v v JOIN @h h ON v.kind = h.kind AND v.k = h.k LEFT SEMI JOIN @s s ON v.kind = s.kind AND v.val = s.val", v=rest, h=near(spark, doubtful, names), s=slips)
-    later = _best(spark, run_sql(spark, "SELECT kind, val, level, d, term_id FROM @a UNION ALL SELECT * FROM @b UNION ALL SELECT kind, val, level, d, term_id FROM @c UNION ALL SELECT * FROM @d", a=short, b=words, c=slips, d=rivals))
-    found = cut(run_sql(spark, "SELECT * FROM @d UNION ALL SELECT * FROM @l", d=done, l=later))
+    later = cut(_best(spark, run_sql(spark, "SELECT kind, val, level, d, term_id FROM @a UNION ALL SELECT * FROM @b UNION ALL SELECT kind, val, level, d, term_id FROM @c UNION ALL SELECT * FROM @d", a=short, b=words, c=slips, d=rivals)))
     return run_sql(
-        spark, "SELECT kind, val, term_id FROM @f UNION ALL SELECT v.kind, v.val, 0 FROM @v v LEFT ANTI JOIN @f f ON v.kind = f.kind AND v.val = f.val", v=values, f=found
+        spark,
+        "SELECT * FROM @d UNION ALL SELECT * FROM @l UNION ALL SELECT DISTINCT r.kind, r.val, 0 AS term_id FROM @r r LEFT ANTI JOIN @l l ON r.kind = l.kind AND r.val = l.val UNION ALL SELECT v.kind, v.val, 0 FROM @v v LEFT ANTI JOIN @w w ON v.kind = w.kind AND v.val = w.val",
+        d=done,
+        l=later,
+        r=rest,
+        v=values,
+        w=v,
     )
 
 

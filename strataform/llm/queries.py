@@ -102,4 +102,17 @@ _ODD = " UNION ".join(
     for t, c in _FORM_COLUMNS
 )
 _FORM = " UNION ".join(f"SELECT item_id, '{c}' AS field, {one} AS form, coalesce({odd}, false) AS odd FROM {t}" for t, c in _FORM_COLUMNS for one, odd in [lookalike.sql_form(c)])
-ORACLE: dict[str, str] = {"p3_found": _ODD, "p3_forms": _FORM}
+_NAME = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".format
+# two letters stand in for the points inside numbers and the percent signs that stay
+_POINTS = "regexp_replace(regexp_replace(lower({}), '([0-9])\\.([0-9])', '\\1ꙮ\\2', 'g'), '([0-9])\\.([0-9])', '\\1ꙮ\\2', 'g')".format
+_VALUE = lambda v: f"translate(regexp_replace(replace({_POINTS(v)}, '%', 'ꙭ'), '[\\s\\p{{Z}}\\p{{P}}\\p{{C}}\\x0B]+', '', 'g'), 'ꙮꙭ', '.%')"
+_COPIES = f"""WITH r AS (SELECT raw_id, paper_id, section, payload, coalesce(regexp_matches(payload, '^\s*\{{'), false) AS js FROM raw_items),
+j AS (SELECT raw_id, k AS name, json_extract_string(payload, concat('$."', k, '"')) AS value FROM (SELECT raw_id, payload, unnest(json_keys(payload)) AS k FROM r WHERE js AND json_valid(payload))),
+s AS (SELECT raw_id, unnest(CASE WHEN contains(payload, '|') THEN string_split(payload, '|') WHEN contains(payload, ';') THEN string_split(payload, ';') ELSE string_split_regex(payload, '\r\n|\n|\r') END) AS part FROM r WHERE NOT js),
+v AS (SELECT raw_id, CASE WHEN regexp_matches(part, '[:=]') THEN regexp_extract(part, '^([^:=]*)[:=]', 1) ELSE '' END AS name, CASE WHEN regexp_matches(part, '[:=]') THEN regexp_extract(part, '(?s)^[^:=]*[:=](.*)$', 1) ELSE part END AS value FROM s),
+a AS (SELECT * FROM j UNION ALL SELECT * FROM v UNION ALL SELECT raw_id, '', payload FROM r WHERE js AND NOT json_valid(payload)),
+n AS (SELECT raw_id, {_NAME('name')} AS name, {_VALUE('value')} AS value FROM a),
+g AS (SELECT r.raw_id, paper_id, section, coalesce(list_sort(list(name || chr(1) || value) FILTER (value <> '')), []) AS f FROM r LEFT JOIN n USING (raw_id) GROUP BY ALL),
+m AS (SELECT *, min(raw_id) OVER (PARTITION BY paper_id, section, f) AS first_id FROM g)
+SELECT first_id, raw_id AS copy_id FROM m WHERE raw_id <> first_id"""
+ORACLE: dict[str, str] = {"p3_found": _ODD, "p3_forms": _FORM, "p4_found": _COPIES}

@@ -42,17 +42,24 @@ def nearest_by_text(preds: DataFrame, gold: DataFrame, names: tuple[str, ...] =
         shared = spark.sparkContext.broadcast(part)  # at most `block` gold records
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from strataform.operators.joins import sequence_ratio
+            from difflib import SequenceMatcher
 
+            # a matcher keeps what it works out of its second text; its quick ratios are upper bounds
+            gold_texts = [(g[0], [SequenceMatcher(None, "", y) for y in g[1:] if y]) for g in shared.value]
             for b in batches:
                 best = []
                 for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
                     own = [x for x in row[1:] if x]
                     top = (-1.0, None)
-                    for g in shared.value:
-                        r = max((sequence_ratio(x, y) for x in own for y in g[1:] if y), default=0.0)
+                    for g, matchers in gold_texts:
+                        r = 0.0
+                        for m in matchers:
+                            for x in own:
+                                m.set_seq1(x)
+                                if m.real_quick_ratio() > max(r, top[0]) and m.quick_ratio() > max(r, top[0]):
+                                    r = max(r, m.ratio())
                         if r > top[0]:
-                            top = (r, g[0])
+                            top = (r, g)
                     best.append((row[0], top[1], top[0]))
                 if best:
                     p, g, r = zip(*best, strict=True)

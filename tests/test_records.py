@@ -145,3 +145,17 @@ def test_reports(spark):
     b = report.box_stats(spark.createDataFrame([("a", float(i)) for i in range(1, 10)] + [("a", 100.0)], "g string, v double"), "g", "v").first()
     assert (b.q1, b.median, b.q3, b.low, b.high) == (3.25, 5.5, 7.75, 1.0, 9.0)
     assert report.cube_means(df).count() == 1 + 3 + 2 + 3
+
+
+def test_nearest_by_text_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(1)
+    w = lambda: "".join(r.choice("abcdef ") for _ in range(r.randint(0, 14)))
+    preds, gold = [(f"p{i}", w(), w(), w()) for i in range(40)], [(f"g{i:02}", w(), w(), w()) for i in range(30)]
+    p = spark.createDataFrame(preds, "path string, title string, source string, stem string")
+    g = spark.createDataFrame(gold, "gold_path string, title string, source string, stem string")
+    got = {x.path: (x.fuzzy_gold, round(x.ratio, 9)) for x in joins.nearest_by_text(p, g, block=7).collect()}
+    for a in preds:
+        ratio, _, path = max((max((joins.sequence_ratio(x, y) for x in a[1:] if x for y in b[1:] if y), default=0.0), -i, b[0]) for i, b in enumerate(gold))
+        assert got[a[0]] == (path if ratio >= 0.65 else None, round(ratio, 9))
